@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainloom.llm import encode as enc
-from chainloom.llm import lookalike, mixing, neardup, overlap, splits
+from chainloom.llm import lookalike, mixing, neardup, overlap, similar, splits
 from chainloom.session import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.most_similar(read(spark, sf_dir, "stage2_embeddings"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.bound_pairs(splits.split_records(read(spark, sf_dir, "dev"), read(spark, sf_dir, "split_target")))
 
@@ -61,6 +65,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares,
     "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups,
     "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_canonical": p9_canonical,

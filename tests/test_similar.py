@@ -1,0 +1,43 @@
+import numpy as np
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute_force(spark):
+    best = {}
+    for r in spark.read.parquet(f"{SF}/stage2_embeddings.parquet").collect():
+        if r.ids is not None and (r.ids not in best or r.extracted_at > best[r.ids].extracted_at):
+            best[r.ids] = r
+    usable = {i: np.array(r[1], float) for i, r in sorted(best.items()) if r[1] is not None and len(r[1]) == 64 and None not in r[1]}
+    usable = {i: v / np.linalg.norm(v) for i, v in usable.items() if np.isfinite(v).all() and v.any()}
+    ids, x = list(usable), np.array(list(usable.values()))
+    c = x @ x.T
+    np.fill_diagonal(c, -1)
+    out = set()
+    for i, row in enumerate(c):
+        for j in np.lexsort((np.arange(len(ids)), -row))[:10]:
+            if row[j] >= 0.90:
+                out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def test_p1_found_against_brute_force(spark):
+    want = brute_force(spark)
+    got = [tuple(r) for r in entry.queries()["p1_found"](spark, SF).select("id_a", "id_b").collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    assert len(want) > 1000
+    assert len(want & set(got)) >= 0.98 * len(want)
+    assert len(want & set(got)) >= 0.98 * len(got)
+
+
+def test_p1_found_leaves_out_unusable_vectors_and_takes_an_empty_table(spark, tmp_path):
+    from chainloom.llm.similar import most_similar
+
+    kind = "ids string, ablang2__HL_paired array<float>, extracted_at timestamp"
+    good, other = [1.0] + [0.0] * 63, [0.0] * 63 + [2.0]
+    rows = [("a", good, None), ("b", [5.0] + [0.0] * 63, None), ("c", other, None), ("d", [0.0] * 64, None), ("e", [float("nan")] + good[1:], None), ("f", good[:9], None), ("g", None, None)]
+    df = spark.createDataFrame(rows, kind)
+    assert [tuple(r) for r in most_similar(df).collect()] == [("a", "b")]
+    assert most_similar(df.limit(0)).count() == 0
