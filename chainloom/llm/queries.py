@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainloom.llm import encode as enc
-from chainloom.llm import lookalike, mixing, neardup, overlap, similar, splits
+from chainloom.llm import clusters, lookalike, mixing, neardup, overlap, similar, splits
 from chainloom.session import read
 
 
@@ -26,6 +26,14 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_report(splits.split_records(read(spark, sf_dir, "dev"), target), target)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_pairs(read(spark, sf_dir, "dev"), read(spark, sf_dir, "stage2_embeddings"))
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_summary(read(spark, sf_dir, "dev"), read(spark, sf_dir, "stage2_embeddings"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.cross_split(read(spark, sf_dir, "dev"), read(spark, sf_dir, "folds")).select("scheme", "id_a", "id_b")
 
@@ -67,6 +75,7 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares,
+    "p3_found": p3_found, "p3_clusters": p3_clusters,
     "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups,
     "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_canonical": p9_canonical,
 }

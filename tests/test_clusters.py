@@ -1,0 +1,65 @@
+from collections import defaultdict
+
+import numpy as np
+
+import __spark_entry__ as entry
+from chainloom.llm.clusters import cluster_pairs, cluster_summary
+
+SF = "/root/testdata/sf0.001"
+DEV = "id string, heavy string, delivered_at timestamp"
+VECTORS = "ids string, ablang2__HL_paired array<float>, extracted_at timestamp"
+
+
+def lev(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def brute_force(spark):
+    heavy = {r.id: "".join(c for c in (r.heavy or "").upper() if c.isalpha()) for r in spark.read.parquet(f"{SF}/dev.parquet").collect() if r.id is not None}
+    best = {}
+    for r in spark.read.parquet(f"{SF}/stage2_embeddings.parquet").collect():
+        if r.ids not in best or r.extracted_at > best[r.ids].extracted_at:
+            best[r.ids] = r
+    v = {i: np.array(r[1], float) for i, r in best.items() if r[1] is not None and len(r[1]) == 64 and None not in r[1]}
+    v = {i: x / np.linalg.norm(x) for i, x in v.items() if np.isfinite(x).all() and x.any()}
+    ids = sorted(heavy)
+    of = {i: i for i in ids}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            by_vector, by_chain = a in v and b in v, bool(heavy[a] and heavy[b])
+            if not (by_vector or by_chain) or by_vector and v[a] @ v[b] < 0.80:
+                continue
+            if not by_chain or 1 - lev(heavy[a], heavy[b]) / max(len(heavy[a]), len(heavy[b])) >= 0.60:
+                of[root(b)] = root(a)
+    groups = defaultdict(list)
+    for i in ids:
+        groups[root(i)].append(i)
+    return {(a, b) for g in groups.values() for a in g for b in g if a < b}
+
+
+def test_p3_found_against_brute_force(spark):
+    got = [tuple(r) for r in entry.queries()["p3_found"](spark, SF).select("id_a", "id_b").collect()]
+    assert len(got) == len(set(got)) > 0
+    assert set(got) == brute_force(spark)
+
+
+def test_links_where_a_condition_cannot_be_tested(spark):
+    x, y = [1.0] + [0.0] * 63, [0.0, 1.0] + [0.0] * 62
+    chain, other = "ACDEFGHIKLMNPQRSTVWY" * 6, "YWVTSRQPNMLKIHGFEDCA" * 6
+    dev = spark.createDataFrame([("both", chain, None), ("bare", chain[:100] + "W" * 20, None), ("novec", "short", None), ("novec2", "shirt", None), ("empty", None, None), ("far", other, None), ("nothing", "", None)], DEV)
+    vectors = spark.createDataFrame([("both", x, None), ("empty", x, None), ("far", y, None)], VECTORS)
+    assert {tuple(r) for r in cluster_pairs(dev, vectors).collect()} == {("bare", "both"), ("both", "empty"), ("bare", "empty"), ("novec", "novec2")}
+    clusters = {frozenset(r.typical): r.size for r in cluster_summary(dev, vectors).collect()}
+    assert clusters == {frozenset({"bare", "both", "empty"}): 3, frozenset({"novec", "novec2"}): 2, frozenset({"far"}): 1, frozenset({"nothing"}): 1}
+    assert next(r.typical[0] for r in cluster_summary(dev, vectors).collect() if r.size == 3) == "both"
