@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +56,55 @@ def edits(threshold: float) -> Column:
     return F.when(1 - best / F.expr(n) >= threshold, best)
 
 
+_WORDS = 4
+
+
+def parities(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per text, of each of 256 classes of adjacent letter pairs whether their number is odd, as four words.
+
+    ``data``: the texts one after the other, each prolonged by its first letter. An edit
+    changes at most four pairs of the ring, so rings ``d`` edits apart differ in at most 4 d bits.
+    """
+    n, bits = len(offsets) - 1, 64 * _WORDS
+    pair = data[:-1].astype(np.int64) * 257 + data[1:]
+    row = np.repeat(np.arange(n), np.diff(offsets))[: len(pair)]
+    inside = np.arange(len(pair)) + 1 < offsets[1:][row]
+    odd = np.bincount(row[inside] * bits + (pair[inside] * 40503 >> 4) % bits, minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
+def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, len(whole), 2000):
+            batch = whole.slice(at, 2000)
+            ring = batch.column("ring").cast(pa.large_binary())
+            offsets = np.frombuffer(ring.buffers()[1], np.int64, count=ring.offset + len(ring) + 1)[ring.offset :]
+            data = np.frombuffer(ring.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            p = parities(data, offsets - offsets[0])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n"), batch.column("wide"), *(pa.array(p[:, j]) for j in range(_WORDS))], names=["k", "n", "wide", *(f"p{j}" for j in range(_WORDS))])
+
+
+def may_reach(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``ka``, ``kb`` whose parities (:func:`parities`) don't differ in more bits than the allowed edits can change.
+
+    Only the parities are sent to the pairs, not the texts. A letter beyond ASCII is
+    several bytes, all of which an edit may change; pairs with such letters all stay.
+    """
+    whole = F.concat("x", "y")
+    words = [f"p{j}" for j in range(_WORDS)]
+    rings = classes.select("k", F.length(whole).alias("n"), (F.octet_length(whole) > F.length(whole)).alias("wide"), F.concat(whole, F.substring(whole, 1, 1)).alias("ring"))
+    marks = rings.mapInArrow(_parity_rows, "k long, n int, wide boolean, " + ", ".join(f"{w} long" for w in words))
+    a, b = (marks.toDF(*[c + side if c == "k" else f"{c}_{side}" for c in marks.columns]) for side in "ab")
+    most = f"floor({1 - threshold:.12g}D * greatest(n_a, n_b) + 1e-9D)"
+    differ = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)
+    return pairs.select("ka", "kb").join(a, "ka").join(b, "kb").where(f"wide_a or wide_b or {differ} <= 4 * {most}").select("ka", "kb")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Candidate class pairs ``ka`` < ``kb`` that pass the exact check, with ``d`` edits and the longer length ``n``."""
     a = classes.select(F.col("k").alias("ka"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     b = classes.select(F.col("k").alias("kb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    both = pairs.select("ka", "kb").join(a, "ka").join(b, "kb")
+    both = may_reach(pairs, classes, threshold).join(a, "ka").join(b, "kb")
     n = F.greatest(F.length("xa") + F.length("ya"), F.length("xb") + F.length("yb"))
     return both.select("ka", "kb", edits(threshold).alias("d"), n.alias("n")).where("d is not null")
 

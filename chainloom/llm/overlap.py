@@ -7,10 +7,10 @@ length keep alike. The suffixes are brought into order by their first letters; e
 neighbours reveal a shared span. Spans are merged into the number of letters they cover
 in a pair of texts, and pairs with a shared span are checked exactly.
 
-Shortest span that is sure to be seen: 36 letters in texts of more than 160, 15 in
-texts from 34, 8 in shorter ones. A pair of texts of up to 160 letters at a similarity of 0.94
-always shares such a span. Longer texts can miss it only if their edits lie so
-evenly that no 36 letters in a row stay free of them.
+Shortest span that is sure to be seen: 16 letters in texts of more than 170, 15 in
+texts from 37, 8 in shorter ones. A pair at a similarity of 0.94 always shares such a
+span: d edits part the ring of the longer text, of n letters, into d stretches that have
+n - d letters together, and d <= 0.06 n leaves one of them at least 15.7, that is 16.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from chainloom.llm.neardup import _mix
 from chainloom.operators.orphans import newest
 
 #: name: (least and greatest length of text, window in suffixes, letters of the suffix compared, letters hashed for the minimizer)
-TIERS = {0: (1, 36, 1, 8, 8), 1: (33, 170, 4, 12, 8), 2: (150, 1 << 31, 13, 24, 12)}
-_LONGEST = 36
-_FIRST = 13
+TIERS = {0: (1, 36, 1, 8, 8), 1: (33, 170, 4, 12, 8), 2: (150, 1 << 31, 5, 12, 8)}
+_LONGEST = 16
 
 
 def _code(letters: np.ndarray, length: int) -> np.ndarray:
@@ -42,9 +41,9 @@ def _code(letters: np.ndarray, length: int) -> np.ndarray:
 
 
 def suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first-letters code and code of the following letters of each kept suffix.
+    """Row, first-letters code and tier of each kept suffix.
 
-    ``data``: the texts one after the other, each prolonged by its first 35 letters.
+    ``data``: the texts one after the other, each prolonged by its first 15 letters.
     """
     lengths = np.diff(offsets) - (_LONGEST - 1)
     letters = np.where((data >= 65) & (data <= 90), data - 64, 0).astype(np.int64)
@@ -66,10 +65,8 @@ def suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             at[: size - j][better] = np.arange(j, size)[better]
         starts = np.unique(at[inside])
         row = row_of[starts]
-        first = _code(letters, min(compared, _FIRST))[starts]
-        rest = _mix(_code(letters, max(1, compared - _FIRST)).astype(np.uint64), 3)
-        follow = starts + _FIRST
-        second = np.where(follow < size, rest[np.minimum(follow, size - 1)] >> np.uint64(34), 0).astype(np.int32) if compared > _FIRST else np.full(len(starts), tier, np.int32)
+        first = _code(letters, compared)[starts]
+        second = np.full(len(starts), tier, np.int32)
         parts.append((row, first, second))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 

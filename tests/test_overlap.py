@@ -1,0 +1,58 @@
+import random
+
+from chainloom.llm import chains, overlap
+
+LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def spread(rng, text, d):
+    """``text`` with ``d`` letters replaced at even distances around the ring."""
+    out, n = list(text), len(text)
+    for j in range(d):
+        at = j * n // d
+        out[at] = rng.choice([c for c in LETTERS if c != out[at]])
+    return "".join(out)
+
+
+def pairs_with_spread_edits(seed=5):
+    rng = random.Random(seed)
+    cases = []
+    for n in (38, 70, 149, 151, 169, 171, 200, 217, 230, 234, 239, 450):
+        for part in range(3):
+            text = "".join(rng.choice(LETTERS) for _ in range(n))
+            most = int(0.06 * n + 1e-9)
+            other = spread(rng, text, most)
+            cut = n // 2
+            cases.append(((text[:cut], text[cut:]), (other[cut:], other[:cut]) if part == 1 else (other[:cut], other[cut:])))
+    return cases
+
+
+def test_p4_found_keeps_pairs_whose_edits_lie_evenly(spark):
+    rows, folds = [], []
+    for j, pair in enumerate(pairs_with_spread_edits()):
+        for side, (heavy, light) in zip("ab", pair):
+            rows.append((f"{j:03}{side}", heavy, light))
+            folds.append(("primary", f"{j:03}{side}", "ab".index(side), None))
+    dev = spark.createDataFrame(rows, "id string, heavy string, light string")
+    split = spark.createDataFrame(folds, "scheme string, id string, fold int, assigned_at timestamp")
+    got = {(r.id_a, r.id_b) for r in overlap.cross_split(dev, split).collect()}
+    assert got == {(f"{j:03}a", f"{j:03}b") for j in range(len(rows) // 2)}
+
+
+def test_parities_leave_every_pair_within_the_threshold(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for j in range(300):
+        text = "".join(rng.choice(LETTERS) for _ in range(rng.choice((20, 60, 231, 400))))
+        other = list(text)
+        for _ in range(int(0.06 * len(text))):
+            at = rng.randrange(len(other))
+            kind = rng.random()
+            other[at : at + (kind > 0.3)] = [] if kind > 0.8 else [rng.choice(LETTERS)]
+        rows += [(2 * j, "", text), (2 * j + 1, "", "".join(other))]
+        want.add((2 * j, 2 * j + 1))
+    classes = spark.createDataFrame(rows, "k long, x string, y string")
+    candidates = spark.createDataFrame(sorted(want), "ka long, kb long")
+    a, b = classes.toDF("ka", "xa", "ya"), classes.toDF("kb", "xb", "yb")
+    exact = candidates.join(a, "ka").join(b, "kb").select("ka", "kb", chains.edits(0.94).alias("d")).where("d is not null")
+    assert {(r.ka, r.kb) for r in chains.verified(candidates, classes, 0.94).collect()} == {(r.ka, r.kb) for r in exact.collect()}
