@@ -2,9 +2,8 @@
 
 Method: a MinHash LSH forest. Each text has several trees; its label in a tree is a
 sequence of minima of hashed shingles. Texts whose labels share a prefix are candidates
-and are checked exactly. The prefix starts long and is shortened until the estimated
-recall reaches the target: each checked pair tells how likely the forest was to find a
-pair of its distance, so the found pairs estimate how many there are.
+and are checked exactly. The prefix is the longest at which the forest finds a pair of
+the greatest distance allowed with the target recall, whatever else the table holds.
 
 A text is the ring heavy + light, so its shingles are the same whichever chain comes first.
 """
@@ -23,7 +22,7 @@ from chainloom.operators.components import connected_components
 from chainloom.session import stage
 
 SHINGLE = 5
-TREES = 24
+TREES = 32
 DEPTH = 6
 _BINS = 32
 _ROUNDS = -(-TREES * DEPTH // _BINS)
@@ -39,7 +38,7 @@ def _mix(v: np.ndarray, seed: int) -> np.ndarray:
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """8-bit minima, one row a text: one-permutation hashing with 32 bins in each of several rounds.
+    """16-bit minima, one row a text: one-permutation hashing with 32 bins in each of several rounds.
 
     ``data`` holds the texts, each prolonged by its first ``width - 1`` bytes.
     """
@@ -52,7 +51,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> n
     place = np.arange(len(v)) - offsets[:-1][row]
     inside = place <= lengths[row] - width
     v, row = v[inside], row[inside]
-    out = np.empty((n, _ROUNDS * _BINS), np.uint8)
+    out = np.empty((n, _ROUNDS * _BINS), np.uint16)
     for r in range(_ROUNDS):
         h = _mix(v, r)
         low = np.full(n * _BINS, _FULL)
@@ -67,11 +66,12 @@ def signatures(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> n
             fill = empty & (other != _FULL)
             low[fill] = _mix(other[fill], 100 + step)
             empty &= ~fill
-        out[:, r * _BINS : (r + 1) * _BINS] = (low & np.uint64(0xFF)).astype(np.uint8)
+        out[:, r * _BINS : (r + 1) * _BINS] = (low & np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
 
 def _tree_rows(depth: int):
+    bits = min(16, 48 // depth)  # of each minimum, so that the tree and its label fit a long
     order = np.arange(TREES * DEPTH).reshape(DEPTH, TREES).T  # a tree's levels come from different rounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def _tree_rows(depth: int):
                 for t in range(TREES):
                     label = np.zeros(len(batch), np.int64)
                     for level in order[t][:depth]:
-                        label = (label << 8) | sig[:, level]
+                        label = (label << bits) | (sig[:, level] & ((1 << bits) - 1))
                     key[:, t] = (t << 48) | label
                 k = batch.column("k").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(k, TREES))], names=["node", "k"])
@@ -104,24 +104,24 @@ def forest_pairs(classes: DataFrame, depth: int) -> DataFrame:
     return a.join(b, "node").where("ka < kb").select("ka", "kb").distinct()
 
 
-def chance(d, n, depth: int):
-    """Least probability that the forest finds a pair of ``d`` edits and longer length ``n`` at ``depth``."""
-    shared = F.greatest((n - SHINGLE * d) / (n + SHINGLE * d), F.lit(0.02))
-    return 1 - F.pow(1 - F.pow(shared, depth), TREES)
+def least_chance(threshold: float, depth: int) -> float:
+    """Least probability that the forest finds a pair at or above ``threshold``: that of pairs just at it, no shingle changed twice."""
+    away = SHINGLE * (1 - threshold)
+    return 1 - (1 - max((1 - away) / (1 + away), 0.02) ** depth) ** TREES
+
+
+def depth_for(threshold: float, target_recall: float, start_depth: int) -> int:
+    """The greatest depth up to ``start_depth`` at which every pair at or above ``threshold`` is found with ``target_recall``, or 1."""
+    return next((d for d in range(min(start_depth, DEPTH), 1, -1) if least_chance(threshold, d) >= target_recall), 1)
 
 
 def near_links(classes: DataFrame, threshold: float = 0.94, target_recall: float = 0.99, start_depth: int = 4) -> DataFrame:
     """Links between classes of different texts: ``ka``, ``kb``, ``d``, ``n``; staged.
 
-    The depth falls from ``start_depth`` until the pairs found, each weighed by the
-    inverse of its chance, say that ``target_recall`` is reached, or to 1.
+    ``target_recall`` holds for each pair, not only for their mean.
     """
-    for depth in range(min(start_depth, DEPTH), 0, -1):
-        links = stage(verified(forest_pairs(classes, depth), classes, threshold), f"links{depth}")
-        seen = links.agg(F.count("*").alias("found"), F.sum(1 / chance(F.col("d"), F.col("n"), depth)).alias("there")).first()
-        if not seen.found or seen.found / seen.there >= target_recall:
-            break
-    return links
+    depth = depth_for(threshold, target_recall, start_depth)
+    return stage(verified(forest_pairs(classes, depth), classes, threshold), f"links{depth}")
 
 
 def near_duplicates(dev: DataFrame, threshold: float = 0.94, **how) -> tuple[DataFrame, DataFrame]:
