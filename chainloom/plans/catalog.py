@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chainloom.operators import orphans
+from chainloom.operators import orphans, scores
 
-_PARTS: list = [orphans]
+_PARTS: list = [orphans, scores]
 
 
 def queries() -> dict:
