@@ -5,7 +5,7 @@ in SQL; each equivalence class gets one deterministic canonical form, which is j
 
 The map is built by rule from the Unicode data: full- and half-width forms, ligatures,
 radicals, numerals and unit signs of the same look, kinds of space, and invisible
-characters. Only the look-alike letters of other scripts are fixed values. Collation
+characters. Joined letters go by their base, so that accents over look-alikes meet. Only the look-alike letters of other scripts are fixed values. Collation
 settles joined and separate accents. Raised, circled, squared and mathematical styles
 look different and stay.
 """
@@ -25,9 +25,11 @@ from pyspark.sql.types import StringType
 SCRIPT_LOOKALIKES = (
     ("асԁеһіјӏорԛѕԝхуѵ", "acdehijlopqswxyv"),  # Cyrillic, small
     ("АВСԌЕНІЈКМОРԚЅТԜХУ", "ABCGEHIJKMOPQSTWXY"),  # Cyrillic, capital
-    ("ονϲϳ", "ovcj"),  # Greek, small
+    ("αονρυϲϳ", "aovpucj"),  # Greek, small
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek, capital
     ("օսոհցՕՍ", "ounhgOU"),  # Armenian
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏏᏒᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZbRVSLCPKB"),  # Cherokee
+    ("ⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "BHIKMNOoPpCcTYX"),  # Coptic
     ("ɡɑı", "gai"),  # Latin letters with a second shape
 )
 
@@ -61,9 +63,13 @@ def _tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         elif c in SOUND_MARKS:
             one[c] = SOUND_MARKS[c]
         elif not parts.startswith("<"):
-            plain = unicodedata.normalize("NFC", c)  # a second code of the same sign
-            if parts and len(plain) == 1 and plain != c:
-                one[c] = letters.get(plain, plain)
+            base, *marks = unicodedata.normalize("NFD", c)  # a joined letter goes by its base, or is a second code of the same sign
+            plain = unicodedata.normalize("NFC", letters.get(base, base) + "".join(marks))
+            if parts and plain != c:
+                if len(plain) == 1:
+                    one[c] = letters.get(plain, plain)
+                elif base in letters:
+                    several[c] = plain
         elif parts.split()[0] in ("<wide>", "<narrow>", "<compat>", "<noBreak>") and " " not in plain:
             if len(plain) == 1:
                 one[c] = letters.get(plain, plain)
