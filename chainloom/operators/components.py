@@ -2,8 +2,10 @@
 
 Every round sends each edge to its smaller end point's minimum (large star) and then to
 its larger end point's minimum (small star). The number of rounds grows with the
-logarithm of the longest path, no vertex list is ever gathered, minima are combined
-before the shuffle, and the joins split hot vertices under adaptive execution.
+logarithm of the longest path, no vertex list is ever gathered and minima are combined
+before the shuffle. The minima are shuffled anew for the joins, so that adaptive
+execution can split the edges of a hot vertex: it leaves joins alone whose other side
+is still partitioned by its aggregation.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.session import stage
+from chainloom.session import stage, unstage
 
 
 def _seal(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
@@ -20,6 +22,11 @@ def _seal(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
     return kept, (row.n, row.h)
 
 
+def _reshuffled(low: DataFrame) -> DataFrame:
+    """``u`` under an expression that equals it, as ``m`` <= ``u``, but hides from the planner how the rows lie."""
+    return low.select(F.greatest("u", "m").alias("u"), "m")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Label the vertices of ``edges`` with the smallest vertex of their component.
 
@@ -35,9 +42,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if mark[0] == 0:
             break
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = _reshuffled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = _reshuffled(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -46,9 +53,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .distinct()
         )
         new, new_mark = _seal(small, "stars")
-        if new_mark == mark:
+        unstage(current)
+        done, current, mark = new_mark == mark, new, new_mark
+        if done:
             break
-        current, mark = new, new_mark
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

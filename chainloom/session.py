@@ -6,10 +6,12 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(app: str = "chainloom", cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -28,46 +30,81 @@ def local_session(app: str = "chainloom", cores: str | int = "*", shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where it is unset (tests, one machine) is an own temporary folder made and
-    registered as the checkpoint folder.
+    Only where neither is set is an own temporary folder made and registered, and only
+    under a local master; a cluster without a shared folder is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if sc.applicationId not in _OWN_DIRS:
-        _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="chainloom-")
-        sc.setCheckpointDir(_OWN_DIRS[sc.applicationId])
+    if sc.applicationId in _OWN_DIRS:
+        return _OWN_DIRS[sc.applicationId]
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("a cluster needs a folder that all executors share: set spark.checkpoint.dir")
+    _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="chainloom-")
+    sc.setCheckpointDir(_OWN_DIRS[sc.applicationId])
     return _OWN_DIRS[sc.applicationId]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package's code to the executors of a cluster, once for each application."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="chainloom-code-"), "chainloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("chainloom", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
     Cuts the lineage like a reliable checkpoint, but columnar, pruned on reading and
     compressed. Rows of a plan that isn't deterministic are fixed by it. The folder is
-    removed when the driver ends.
+    removed by :func:`unstage` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chainloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._staged_at = path
+    _STAGED[path] = spark
+    return written
+
+
+_STAGED: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_STAGED: list[tuple[SparkSession, str]] = []
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing still to be run depends on."""
+    path = getattr(df, "_staged_at", None)
+    if path in _STAGED:
+        _delete(_STAGED.pop(path), path)
 
 
 def release() -> None:
     """Delete the staged tables of this driver; results not yet written can't be read afterwards."""
     while _STAGED:
-        spark, path = _STAGED.pop()
+        path, spark = _STAGED.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM is gone, and with it the session
             return
 
@@ -77,4 +114,5 @@ atexit.register(release)
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the input folder."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
