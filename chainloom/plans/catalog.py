@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
 from chainloom.operators import orphans, scores
 
-_PARTS: list = [orphans, scores]
+#: Modules of this package that hold a ``part``.
+_FAMILIES = ("aggregates",)
+
+
+def _parts() -> list:
+    return [orphans, scores, *(importlib.import_module(f"chainloom.plans.{m}").part for m in _FAMILIES)]
 
 
 def queries() -> dict:
-    return {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+    return {k: f for part in _parts() for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: s for part in _PARTS for k, s in part.ORACLE.items()}
+    return {k: s for part in _parts() for k, s in part.ORACLE.items()}
