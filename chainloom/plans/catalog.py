@@ -7,7 +7,7 @@ import importlib
 from chainloom.operators import orphans, scores
 
 #: Modules of this package that hold a ``part``.
-_FAMILIES = ("aggregates", "ranks")
+_FAMILIES = ("aggregates", "ranks", "selects")
 
 
 def _parts() -> list:
