@@ -44,16 +44,78 @@ def texts(recs: DataFrame) -> DataFrame:
     return classes.select(checked.alias("k"), "_t.x", "_t.y")
 
 
-def edits(threshold: float) -> Column:
-    """Edits between texts (xa, ya) and (xb, yb), the best over exchanged chains, or null if the similarity is below ``threshold``."""
-    n = "greatest(length(xa) + length(ya), length(xb) + length(yb))"
-    most = f"cast(floor({1 - threshold:.12g}D * {n} + 1e-9D) as int)"
+def edits(a: str, b: str, most: int) -> int:
+    """Least number of single-letter insertions, deletions and replacements between two texts, ``most`` + 1 if it is more.
 
-    def d(a: str, b: str) -> str:
-        return f"nullif(levenshtein({a}, {b}, {most}), -1)"
-
-    best = F.expr(f"coalesce({d('xa || ya', 'xb || yb')}, {d('xa || ya', 'yb || xb')}, {d('ya || xa', 'xb || yb')}, {d('ya || xa', 'yb || xb')})")
-    return F.when(1 - best / F.expr(n) >= threshold, best)
+    Bit-parallel: a column of the table is one long integer, so a letter of ``b`` costs
+    a few operations whatever the length of ``a``. Common ends are cut off first.
+    """
+    if a == b:
+        return 0
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[len(a) - 1 - j] == b[len(b) - 1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return most + 1
+    if not b:
+        return len(a)
+    at: dict[str, int] = {}
+    for place, letter in enumerate(a):
+        at[letter] = at.get(letter, 0) | (1 << place)
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = full, 0, len(a), len(b)
+    for letter in b:
+        eq = at.get(letter, 0)
+        d = (((eq & up) + up) ^ up) | eq | down
+        rise = down | (full & ~(d | up))
+        fall = up & d
+        if rise & last:
+            score += 1
+        elif fall & last:
+            score -= 1
+        left -= 1
+        if score - left > most:  # each further letter lowers it by one at most
+            return most + 1
+        rise = ((rise << 1) | 1) & full
+        fall = (fall << 1) & full
+        up = fall | (full & ~(d | rise))
+        down = rise & d
+    return score if score <= most else most + 1
+
+
+def best_edits(xa: str, ya: str, xb: str, yb: str, threshold: float) -> tuple[int, int] | None:
+    """Least edits between two records over exchanged chains, and the longer length; None if the similarity is below ``threshold``."""
+    n = max(len(xa) + len(ya), len(xb) + len(yb))
+    most = int((1 - threshold) * n + 1e-9)
+    best = most + 1
+    for a in (xa + ya, ya + xa):
+        for b in (xb + yb, yb + xb):
+            best = min(best, edits(a, b, best - 1))
+            if best == 0:
+                return 0, n
+    return (best, n) if best <= most and 1 - best / n >= threshold else None
+
+
+def _checked(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ka, kb, d, ns = [], [], [], []
+            for a, b, *four in zip(*(batch.column(c).to_pylist() for c in ("ka", "kb", "xa", "ya", "xb", "yb"))):
+                found = best_edits(*four, threshold)
+                if found:
+                    ka.append(a)
+                    kb.append(b)
+                    d.append(found[0])
+                    ns.append(found[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(d, pa.int32()), pa.array(ns, pa.int32())], names=["ka", "kb", "d", "n"])
+
+    return run
 
 
 _WORDS = 4
@@ -104,9 +166,8 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     """Candidate class pairs ``ka`` < ``kb`` that pass the exact check, with ``d`` edits and the longer length ``n``."""
     a = classes.select(F.col("k").alias("ka"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     b = classes.select(F.col("k").alias("kb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    both = may_reach(pairs, classes, threshold).join(a, "ka").join(b, "kb")
-    n = F.greatest(F.length("xa") + F.length("ya"), F.length("xb") + F.length("yb"))
-    return both.select("ka", "kb", edits(threshold).alias("d"), n.alias("n")).where("d is not null")
+    both = may_reach(pairs, classes, threshold).join(a, "ka").join(b, "kb").select("ka", "kb", "xa", "ya", "xb", "yb")
+    return both.mapInArrow(_checked(threshold), "ka long, kb long, d int, n int")
 
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -53,6 +53,31 @@ def test_parities_leave_every_pair_within_the_threshold(spark):
         want.add((2 * j, 2 * j + 1))
     classes = spark.createDataFrame(rows, "k long, x string, y string")
     candidates = spark.createDataFrame(sorted(want), "ka long, kb long")
-    a, b = classes.toDF("ka", "xa", "ya"), classes.toDF("kb", "xb", "yb")
-    exact = candidates.join(a, "ka").join(b, "kb").select("ka", "kb", chains.edits(0.94).alias("d")).where("d is not null")
-    assert {(r.ka, r.kb) for r in chains.verified(candidates, classes, 0.94).collect()} == {(r.ka, r.kb) for r in exact.collect()}
+    text = {r[0]: r[2] for r in rows}
+    exact = {(a, b) for a, b in want if chains.best_edits("", text[a], "", text[b], 0.94)}
+    assert {(r.ka, r.kb) for r in chains.verified(candidates, classes, 0.94).collect()} == exact and len(exact) > 200
+
+
+def table_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_bit_parallel_edits_equal_the_table():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a = "".join(rng.choice("ABC") for _ in range(rng.randrange(0, 14)))
+        b = "".join(rng.choice("ABC") for _ in range(rng.randrange(0, 14)))
+        d = table_edits(a, b)
+        for most in (0, 2, 5, 20):
+            assert chains.edits(a, b, most) == min(d, most + 1)
+    long = "".join(rng.choice(LETTERS) for _ in range(3000))
+    assert chains.edits(long, long[:700] + "W" + long[705:], 9) == table_edits(long[690:720], long[690:700] + "W" + long[705:720])
+
+
+def test_exchanged_chains_take_the_least_edits():
+    assert chains.best_edits("AAAACCCC" * 5, "GGGGTTTT" * 5, "GGGGTTTT" * 5, "AAAACCCC" * 5, 0.94) == (0, 80)
