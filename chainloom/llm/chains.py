@@ -40,8 +40,9 @@ def texts(recs: DataFrame) -> DataFrame:
     """
     second = F.xxhash64(F.lit(1), "y", "x")
     classes = recs.groupBy("k").agg(F.min(F.struct("x", "y")).alias("_t"), F.min(second).alias("_lo"), F.max(second).alias("_hi"))
-    checked = F.when(F.col("_lo") == F.col("_hi"), F.col("k")).otherwise(F.raise_error(F.lit("two texts share a 64-bit hash")).cast("long"))
-    return classes.select(checked.alias("k"), "_t.x", "_t.y")
+    # a filter, not a new column: the rows stay partitioned by k for the joins to come
+    checked = F.when(F.col("_lo") == F.col("_hi"), F.lit(True)).otherwise(F.raise_error(F.lit("two texts share a 64-bit hash")).cast("boolean"))
+    return classes.where(checked).select("k", "_t.x", "_t.y")
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -147,7 +148,7 @@ def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def may_reach(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``ka``, ``kb`` whose parities (:func:`parities`) don't differ in more bits than the allowed edits can change.
+    """The pairs ``ka``, ``kb``, each once, whose parities (:func:`parities`) don't differ in more bits than the allowed edits can change.
 
     Only the parities are sent to the pairs, not the texts. A letter beyond ASCII is
     several bytes, all of which an edit may change; pairs with such letters all stay.
@@ -159,7 +160,9 @@ def may_reach(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     a, b = (marks.toDF(*[c + side if c == "k" else f"{c}_{side}" for c in marks.columns]) for side in "ab")
     most = f"floor({1 - threshold:.12g}D * greatest(n_a, n_b) + 1e-9D)"
     differ = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words)
-    return pairs.select("ka", "kb").join(a, "ka").join(b, "kb").where(f"wide_a or wide_b or {differ} <= 4 * {most}").select("ka", "kb")
+    # hashing by ka alone also puts equal pairs together, so that they are made distinct and joined in one exchange
+    once = pairs.select("ka", "kb").repartition("ka").distinct()
+    return once.join(a, "ka").join(b, "kb").where(f"wide_a or wide_b or {differ} <= 4 * {most}").select("ka", "kb")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:

@@ -22,7 +22,7 @@ from chainloom.operators.components import connected_components
 from chainloom.session import stage
 
 SHINGLE = 5
-TREES = 32
+TREES = 28
 DEPTH = 6
 _BINS = 32
 _ROUNDS = -(-TREES * DEPTH // _BINS)
@@ -71,7 +71,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> n
 
 
 def _tree_rows(depth: int):
-    bits = min(16, 48 // depth)  # of each minimum, so that the tree and its label fit a long
+    bits = min(12, 48 // depth)  # of each minimum, so that the tree and its label fit a long
     order = np.arange(TREES * DEPTH).reshape(DEPTH, TREES).T  # a tree's levels come from different rounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +95,13 @@ def _tree_rows(depth: int):
 
 
 def forest_pairs(classes: DataFrame, depth: int) -> DataFrame:
-    """Pairs ``ka`` < ``kb`` of classes that share a trie node at ``depth`` in a tree, each once."""
+    """Pairs ``ka`` < ``kb`` of classes that share a trie node at ``depth`` in a tree; a pair may repeat."""
     whole = F.concat("x", "y")
     rings = classes.select("k", F.concat(whole, F.substring(F.repeat(whole, SHINGLE - 1), 1, SHINGLE - 1)).alias("ring"))
     nodes = rings.mapInArrow(_tree_rows(depth), "node long, k long")
     a = nodes.select("node", F.col("k").alias("ka"))
     b = nodes.select("node", F.col("k").alias("kb"))
-    return a.join(b, "node").where("ka < kb").select("ka", "kb").distinct()
+    return a.join(b, "node").where("ka < kb").select("ka", "kb")
 
 
 def least_chance(threshold: float, depth: int) -> float:
