@@ -54,12 +54,17 @@ def edits(a: str, b: str, most: int) -> int:
     if a == b:
         return 0
     i, n = 0, min(len(a), len(b))
+    while i + 16 <= n and a[i : i + 16] == b[i : i + 16]:
+        i += 16
     while i < n and a[i] == b[i]:
         i += 1
-    j = 0
-    while j < n - i and a[len(a) - 1 - j] == b[len(b) - 1 - j]:
-        j += 1
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    a, b, n = a[i:], b[i:], n - i
+    i = 0
+    while i + 16 <= n and a[len(a) - i - 16 : len(a) - i] == b[len(b) - i - 16 : len(b) - i]:
+        i += 16
+    while i < n and a[len(a) - 1 - i] == b[len(b) - 1 - i]:
+        i += 1
+    a, b = a[: len(a) - i], b[: len(b) - i]
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > most:

@@ -29,7 +29,7 @@ from chainloom.operators.orphans import newest
 
 #: name: (least and greatest length of text, window in suffixes, letters of the suffix compared, letters hashed to choose one)
 TIERS = {0: (1, 36, 1, 8, 8), 1: (33, 170, 6, 10, 4), 2: (150, 1 << 31, 7, 10, 3)}
-_LONGEST = 16
+LONGEST = 16
 
 
 def _code(letters: np.ndarray, length: int) -> np.ndarray:
@@ -41,34 +41,36 @@ def _code(letters: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffixes(data: np.ndarray, offsets: np.ndarray, tiers: dict = TIERS) -> tuple[np.ndarray, np.ndarray]:
     """Row and first-letters code (with the tier) of each kept suffix.
 
     ``data``: the texts one after the other, each prolonged by its first 15 letters.
     A window keeps the suffix at x mod w, x being the place of its least hashed few
     letters: this thins more than keeping the least suffix (about 0.2 of them).
     """
-    lengths = np.diff(offsets) - (_LONGEST - 1)
+    lengths = np.diff(offsets) - (LONGEST - 1)
     letters = np.where((data >= 65) & (data <= 90), data - 64, 0).astype(np.int64)
     row_of = np.repeat(np.arange(len(lengths)), np.diff(offsets))
     place = np.arange(len(data)) - offsets[:-1][row_of]
     parts = []
-    for tier, (least, most, window, compared, hashed) in TIERS.items():
+    for tier, (least, most, window, compared, hashed) in tiers.items():
         fits = (lengths >= least) & (lengths <= most)
         if not fits.any():
             continue
         inside = np.flatnonzero(fits[row_of] & (place < lengths[row_of]))
-        h = _mix(_code(letters, hashed).astype(np.uint64), 7)
-        size = len(h)
-        best, at = h.copy(), np.zeros(size, np.int64)
+        # the place within the window rides in the low bits, so that a minimum also tells where it is
+        h = _mix(_code(letters, hashed).astype(np.uint64), 7) & ~np.uint64(31)
+        best = h.copy()
         for j in range(1, window + compared - hashed):
-            better = h[j:] < best[: size - j]
-            best[: size - j][better] = h[j:][better]
-            at[: size - j][better] = j
+            np.minimum(best[:-j], h[j:] | np.uint64(j), out=best[:-j])
+        at = (best & np.uint64(31)).astype(np.int64)
         starts = inside + at[inside] % window
         row = row_of[inside]
         starts = np.unique(np.where(starts - offsets[:-1][row] >= lengths[row], starts - lengths[row], starts))
-        parts.append((row_of[starts], (tier << 52) | _code(letters, compared)[starts]))
+        head = np.zeros(len(starts), np.int64)
+        for j in range(compared):
+            head = head * 27 + letters[starts + j]
+        parts.append((row_of[starts], (tier << 52) | head))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -84,13 +86,13 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def span_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs ``ka`` < ``kb`` of classes with equal kept suffixes; a pair may repeat."""
+    """Pairs ``ka`` < ``kb`` of classes with equal kept suffixes, each once."""
     whole = F.concat("x", "y")
-    rings = classes.select("k", F.concat(whole, F.substring(F.repeat(whole, _LONGEST - 1), 1, _LONGEST - 1)).alias("ring"))
+    rings = classes.select("k", F.concat(whole, F.substring(F.repeat(whole, LONGEST - 1), 1, LONGEST - 1)).alias("ring"))
     kept = rings.mapInArrow(_suffix_rows, "head long, k long")
     a = kept.select("head", F.col("k").alias("ka"))
     b = kept.select("head", F.col("k").alias("kb"))
-    return a.join(b, "head").where("ka < kb").select("ka", "kb")
+    return a.join(b, "head").where("ka < kb").select("ka", "kb").distinct()
 
 
 def known_folds(folds: DataFrame) -> DataFrame:
