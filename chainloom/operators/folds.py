@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,15 +131,52 @@ def poisson_weight_sql(h: str) -> str:
     return "(" + " + ".join(f"({h} >= {c})::int" for c in POISSON_CUTS) + ")"
 
 
-def bootstrap_means(df: DataFrame, by: list[str], key: str, values: dict[str, Column], replicates: int, seed: int = 0) -> DataFrame:
-    """Weighted means of each value for every replicate: ``by``, ``replicate``, names.
+def _mixed(k: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """:func:`mix` of all pairs of a key and a seed."""
+    a = ((k % 2**31)[:, None] * np.int64(2654435761) + s[None] * np.int64(40503) + 12345) % MODULUS
+    b = (a ^ (a >> 15)).astype(np.uint64) * np.uint64(1540483477) % np.uint64(MODULUS)
+    return b ^ (b >> np.uint64(13))
+
+
+def _weighted(by: list[str], key: str, columns: list[str], replicates: int, seed: int):
+    seeds = np.arange(replicates, dtype=np.int64) + seed * 1_000_003
+    cuts = np.array(POISSON_CUTS, np.uint64)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 20_000):
+                batch = whole.slice(at, 20_000)
+                frame = batch.to_pandas()
+                values = np.column_stack([np.ones(len(frame)), *[np.nan_to_num(frame[c].to_numpy(np.float64)) for c in columns]])
+                weights = np.searchsorted(cuts, _mixed(frame[key].to_numpy(np.int64), seeds), side="right")
+                groups = frame.groupby(by, dropna=False, sort=False).indices if by else {(): np.arange(len(frame))}
+                for rows in groups.values():
+                    sums = weights[rows].T @ values[rows]
+                    head = batch.select(by).slice(int(rows[0]), 1) if by else None
+                    parts = [pa.array([head.column(b)[0].as_py()] * replicates, batch.schema.field(b).type) for b in by]
+                    yield pa.RecordBatch.from_arrays([*parts, pa.array(np.arange(replicates, dtype=np.int32)), *[pa.array(sums[:, j]) for j in range(sums.shape[1])]], names=[*by, "replicate", "_n", *columns])
+
+    return run
 
-    A row's weight in a replicate is a hash, so rows are never shuffled: each task sums
-    all replicates over its rows and only those sums move.
+
+def bootstrap_sums(df: DataFrame, by: list[str], key: str, columns: dict[str, Column], replicates: int, seed: int = 0) -> DataFrame:
+    """Sums of each column under every replicate's weights: ``by``, ``replicate``, ``_n`` (sum of weights), names.
+
+    A row's weight in a replicate is a hash of its integer ``key``, so rows are never
+    shuffled or copied: an Arrow batch is multiplied by its weight matrix, and only sums
+    of a group and replicate move. Nulls count as 0.
     """
-    reps = df.select(*by, key, *[v.cast("double").alias(n) for n, v in values.items()], F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    w = reps.withColumn("_w", poisson_weight(mix(key, F.col("replicate") + seed * 1_000_003))).where("_w > 0")
-    return w.groupBy(*by, "replicate").agg(*[F.try_divide(F.sum(F.col(n) * F.col("_w")), F.sum(F.when(F.col(n).isNotNull(), F.col("_w")))).alias(n) for n in values])
+    rows = df.select(*by, F.col(key).cast("long").alias("_key"), *[c.cast("double").alias(n) for n, c in columns.items()])
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by]
+    parts = rows.mapInArrow(_weighted(by, "_key", list(columns), replicates, seed), ", ".join([*kinds, "replicate int", "_n double", *[f"`{n}` double" for n in columns]]))
+    return parts.groupBy(*by, "replicate").agg(F.sum("_n").alias("_n"), *[F.sum(n).alias(n) for n in columns])
+
+
+def bootstrap_means(df: DataFrame, by: list[str], key: str, values: dict[str, Column], replicates: int, seed: int = 0) -> DataFrame:
+    """Weighted means of each value for every replicate, nulls aside: ``by``, ``replicate``, names."""
+    columns = {**{f"_s_{n}": v for n, v in values.items()}, **{f"_k_{n}": v.isNotNull() for n, v in values.items()}}
+    s = bootstrap_sums(df, by, key, {n: c.cast("double") for n, c in columns.items()}, replicates, seed)
+    return s.select(*by, "replicate", *[F.try_divide(f"_s_{n}", f"_k_{n}").alias(n) for n in values])
 
 
 def percentile_interval(boot: DataFrame, by: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -148,12 +186,10 @@ def percentile_interval(boot: DataFrame, by: list[str], value: str, low: float =
 
 def bootstrap_correlations(df: DataFrame, by: list[str], key: str, y: str, predictions: list[str], replicates: int, seed: int = 0) -> DataFrame:
     """Pearson correlation of y with each prediction in every replicate, from weighted sums: ``by``, ``replicate``, names."""
-    reps = df.select(*by, key, y, *predictions, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    w = reps.withColumn("_w", poisson_weight(mix(key, F.col("replicate") + seed * 1_000_003)).cast("double")).where("_w > 0")
-    sums = [F.sum("_w").alias("_n"), F.sum(F.col(y) * F.col("_w")).alias("_y"), F.sum(F.col(y) * F.col(y) * F.col("_w")).alias("_yy")]
-    for i, p in enumerate(predictions):
-        sums += [F.sum(F.col(p) * F.col("_w")).alias(f"_p{i}"), F.sum(F.col(p) * F.col(p) * F.col("_w")).alias(f"_pp{i}"), F.sum(F.col(p) * F.col(y) * F.col("_w")).alias(f"_py{i}")]
-    s = w.groupBy(*by, "replicate").agg(*sums)
+    p = {f"_p{i}": F.col(c) for i, c in enumerate(predictions)}
+    columns = {"_y": F.col(y), "_yy": F.col(y) * F.col(y), **p, **{f"_pp{i}": F.col(c) * F.col(c) for i, c in enumerate(predictions)}, **{f"_py{i}": F.col(c) * F.col(y) for i, c in enumerate(predictions)}}
+    whole = df.dropna(subset=[y, *predictions])
+    s = bootstrap_sums(whole, by, key, columns, replicates, seed)
 
     def r(i: int) -> Column:
         n = F.col("_n")
