@@ -71,6 +71,9 @@ def edits(a: str, b: str, most: int) -> int:
         return most + 1
     if not b:
         return len(a)
+    block = len(a) // (most + 1)  # of most + 1 blocks one is left whole, moved by at most ``most`` places
+    if block >= 3 and not any(a[i : i + block] in b[max(0, i - most) : i + block + most] for i in range(0, block * (most + 1), block)):
+        return most + 1
     at: dict[str, int] = {}
     for place, letter in enumerate(a):
         at[letter] = at.get(letter, 0) | (1 << place)

@@ -1,17 +1,17 @@
 """Same or near-same records across splits (problem 4).
 
 Method: an equi-join in place of a suffix array. Each text is the ring heavy + light. Of
-its suffixes those are kept that a window chooses by its letters alone, so that two texts
-that share a span of the window's length keep the same one. Texts with a kept suffix of
-equal first letters are a pair, whatever their splits, and each pair is checked exactly.
-No suffix order is built, no longest common prefixes are compared and no coverage is
-merged: with the span below guaranteed and the exact check after it, they would change
-no result. A span that many texts share gives all their pairs.
-
-Shortest span that is sure to be seen: 16 letters in texts of more than 170, 15 in
-texts from 37, 8 in shorter ones. A pair at a similarity of 0.94 always shares such a
-span: d edits part the ring of the longer text, of n letters, into d stretches that have
-n - d letters together, and d <= 0.06 n leaves one of them at least 15.7, that is 16.
+its suffixes some are kept, chosen by their letters alone, so that two texts that share a
+span keep the same ones in it. Texts with a kept suffix of equal first letters are a
+pair, whatever their splits, and each pair is checked exactly. No suffix order is built,
+no longest common prefixes are compared and no coverage is merged: with the exact check
+after it, they would change no result. A span that many texts share gives all their pairs.
+
+A pair at a similarity of 0.94 or more, of n letters with d <= 0.06 n edits, has at least
+n - 12 d stretches of 12 letters in common, however the edits lie. In texts of more than
+170 letters one suffix in ten is kept, by a hash of its 12 letters: a pair just at 0.94 is
+missed with a chance of at most 0.9^(n - 12 d), 0.0004 for 230 letters. In shorter texts a
+window of 15 letters (8 up to 36) always keeps one, and such a pair shares a window.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from chainloom.llm.chains import expand, records, texts, verified
 from chainloom.llm.neardup import _mix
 from chainloom.operators.orphans import newest
 
-#: name: (least and greatest length of text, window in suffixes, letters of the suffix compared, letters hashed to choose one)
-TIERS = {0: (1, 36, 1, 8, 8), 1: (33, 170, 6, 10, 4), 2: (150, 1 << 31, 7, 10, 3)}
+#: name: (least and greatest length of text, window in suffixes, letters of the suffix compared, letters hashed to choose one); a window of -k keeps one suffix in k
+TIERS = {0: (1, 36, 1, 8, 8), 1: (33, 170, 4, 12, 4), 2: (150, 1 << 31, -10, 12, 12)}
 LONGEST = 16
 
 
@@ -46,7 +46,7 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, tiers: dict = TIERS) -> tupl
 
     ``data``: the texts one after the other, each prolonged by its first 15 letters.
     A window keeps the suffix at x mod w, x being the place of its least hashed few
-    letters: this thins more than keeping the least suffix (about 0.2 of them).
+    letters: this thins more than keeping the least suffix (about a quarter of them).
     """
     lengths = np.diff(offsets) - (LONGEST - 1)
     letters = np.where((data >= 65) & (data <= 90), data - 64, 0).astype(np.int64)
@@ -58,6 +58,11 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, tiers: dict = TIERS) -> tupl
         if not fits.any():
             continue
         inside = np.flatnonzero(fits[row_of] & (place < lengths[row_of]))
+        if window < 0:
+            code = _code(letters, compared)[inside]
+            kept = _mix(code.astype(np.uint64), 7) % np.uint64(-window) == 0
+            parts.append((row_of[inside[kept]], (tier << 58) | code[kept]))
+            continue
         # the place within the window rides in the low bits, so that a minimum also tells where it is
         h = _mix(_code(letters, hashed).astype(np.uint64), 7) & ~np.uint64(31)
         best = h.copy()
@@ -70,7 +75,7 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, tiers: dict = TIERS) -> tupl
         head = np.zeros(len(starts), np.int64)
         for j in range(compared):
             head = head * 27 + letters[starts + j]
-        parts.append((row_of[starts], (tier << 52) | head))
+        parts.append((row_of[starts], (tier << 58) | head))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
