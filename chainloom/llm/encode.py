@@ -2,7 +2,9 @@
 
 Method: forced-boundary splitting. A pair of neighbouring bytes that occurs inside no
 vocabulary token can't be bridged by any merge, so the text may be cut there. Fragments
-are encoded independently, each distinct one once per worker, and the ids concatenated.
+are encoded independently and the ids concatenated. Of the cuts allowed only those are
+made that leave fragments of :data:`FRAGMENT` bytes or more: shorter ones cost more calls
+than they save.
 
 A cut must also leave the pre-tokenizer's pieces as they are. Its pattern looks ahead
 only from white space (``\\s+(?!\\S)``) and treats an apostrophe specially
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Distinct fragments remembered by a worker; beyond it the memory starts anew. Changes speed only.
-REMEMBERED = 400_000
+#: Bytes a fragment has at least, unless its text ends. Changes speed only.
+FRAGMENT = 1024
 
 
 def tokenizer_dir() -> str:
@@ -43,7 +45,7 @@ def _pattern(folder: str) -> str:
 
 
 class FragmentEncoder:
-    """A vocabulary, the byte pairs at which texts may be cut, and the ids of known fragments."""
+    """A vocabulary and the byte pairs at which texts may be cut."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import tiktoken
@@ -64,24 +66,19 @@ class FragmentEncoder:
         self.cut[~left] = False
         self.cut[:, 0x80:0xC0] = False
         self.cut[:, ord("'")] = False
-        self._ids: dict[bytes, list[int]] = {}
-
-    def fragments(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Offsets of all cuts of ``data``, the text starts included, in order."""
-        if len(data) < 2:
-            return np.unique(starts)
-        at = np.flatnonzero(self.cut[data[:-1], data[1:]]) + 1
-        return np.union1d(at, starts)
-
-    def of(self, fragment: bytes) -> list[int]:
-        ids = self._ids.get(fragment)
-        if ids is None:
-            if len(self._ids) >= REMEMBERED:
-                self._ids.clear()
-            ids = self._bpe.encode_ordinary(fragment.decode("utf-8"))
-            if len(fragment) <= 64:
-                self._ids[fragment] = ids
-        return ids
+
+    def fragments(self, data: np.ndarray, offsets: np.ndarray, least: int | None = None) -> np.ndarray:
+        """Offsets at which fragments begin: every text that isn't empty, and cuts at least ``least`` bytes after the beginning before."""
+        least = FRAGMENT if least is None else least
+        at = (np.flatnonzero(self.cut[data[:-1], data[1:]]) + 1) if len(data) > 1 else np.zeros(0, np.int64)
+        out: list[int] = []
+        for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            while s < e:
+                out.append(s)
+                i = int(np.searchsorted(at, s + least)) if e - s > least else len(at)
+                s = int(at[i]) if i < len(at) else e
+                s = min(s, e)
+        return np.array(out, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the offset of each text's first id (one more at the end)."""
@@ -91,15 +88,13 @@ class FragmentEncoder:
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         body = data.tobytes()
-        cuts = self.fragments(data, offsets[:-1][offsets[:-1] < len(data)]) if len(data) else np.zeros(0, np.int64)
+        cuts = self.fragments(data, offsets)
         ends = np.append(cuts[1:], len(data)) if len(cuts) else cuts
         out: list[int] = []
         counts = np.zeros(len(cuts) + 1, np.int64)
-        of, get, extend = self.of, self._ids.get, out.extend
+        plain, extend = self._bpe.encode_ordinary, out.extend
         for i, (s, e) in enumerate(zip(cuts.tolist(), ends.tolist())):
-            f = body[s:e]
-            ids = get(f)
-            extend(of(f) if ids is None else ids)
+            extend(plain(body[s:e].decode("utf-8")))
             counts[i + 1] = len(out)
         bounds = counts[np.searchsorted(cuts, offsets)]
         bounds[-1] = len(out)

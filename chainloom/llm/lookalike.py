@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.session import stage
+
 # fixed values: letters of other scripts and the Latin letters they look like
 SCRIPT_LOOKALIKES = (
     ("асԁеһіјӏорԛѕԝхуѵ", "acdehijlopqswxyv"),  # Cyrillic, small
@@ -131,7 +133,8 @@ def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     empty result.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    hashed = rows.mapInArrow(_hashes, f"_key {rows.schema['_key'].dataType.simpleString()}, text_hash binary, _class binary")
+    # three short columns, written once, so that the texts are read and mapped once
+    hashed = stage(rows.mapInArrow(_hashes, f"_key {rows.schema['_key'].dataType.simpleString()}, text_hash binary, _class binary"), "forms")
     classes = hashed.groupBy("_class").agg(F.min("_key").alias("class_id"), (F.min("text_hash") != F.max("text_hash")).alias("mixed"))
     # the class under another expression: shuffled anew, the join can split a class that many rows share
     named = classes.select(F.substring("_class", 1, 16).alias("_class"), "class_id", "mixed")

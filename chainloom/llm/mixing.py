@@ -81,9 +81,12 @@ def mix(texts: DataFrame, plan: list[dict], seed: int = 0, bits: int = 10) -> Da
     ordered = texts.withColumn("_h", order_hash("source", "doc_id", seed=seed))
     placed = prefix_sum(ordered, ["source"], "_h", ["doc_id"], "n_tokens", "_before", bits)
     # the plan has a row for each target row, so it is as small as the target table on the driver
-    uses = placed.join(F.broadcast(rules) if len(lines) <= 100_000 else rules, "source").withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-    middle = (F.col("use_no") - 1) * F.col("_tokens") + F.col("_before") + F.col("n_tokens") / 2
-    taken = uses.withColumn("_at", middle).where("_at <= _demand")
+    ruled = placed.join(F.broadcast(rules) if len(lines) <= 100_000 else rules, "source")
+    middle = F.col("_before") + F.col("n_tokens") / 2
+    # use k has its middle at (k - 1) tokens + middle, so only the uses that are taken are made
+    taken = F.least(F.floor((F.col("_demand") - middle) / F.col("_tokens")) + 1, F.col("_repeats")).cast("int")
+    uses = ruled.withColumn("_uses", taken).where("_uses >= 1").withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
+    taken = uses.withColumn("_at", (F.col("use_no") - 1) * F.col("_tokens") + middle)
     a, b, c = F.col("_slope"), F.col("_share") - F.col("_slope"), F.col("_at") / F.col("_total")
     # w integrates to share u + slope (u^2 - u); this is its inverse, also for a slope of 0
     u = 2 * c / (b + F.sqrt(F.greatest(b * b + 4 * a * c, F.lit(0.0))))

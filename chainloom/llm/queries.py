@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainloom.llm import encode as enc
-from chainloom.llm import clusters, lookalike, mixing, neardup, overlap, similar, splits
+from chainloom.llm import clusters, lookalike, mixing, neardup, oracle, overlap, similar, splits
 from chainloom.session import read
 
 
@@ -79,4 +79,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups,
     "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_canonical": p9_canonical,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p2_found": oracle.P2_FOUND, "p4_found": oracle.P4_FOUND, "p4_counts": oracle.P4_COUNTS, "p5_found": oracle.P5_FOUND,
+    "p9_found": oracle.p9_found(), "p9_canonical": oracle.p9_canonical(),
+}
