@@ -7,7 +7,7 @@ import importlib
 from chainloom.operators import orphans, scores
 
 #: Modules of this package that hold a ``part``.
-_FAMILIES = ("aggregates", "ranks", "selects", "texts", "statistics", "modelling", "space", "registries")
+_FAMILIES = ("aggregates", "ranks", "selects", "texts", "statistics", "modelling", "space", "registries", "inputs")
 
 
 def _parts() -> list:
