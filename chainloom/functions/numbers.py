@@ -11,7 +11,8 @@ def _c(c: Column | str) -> Column:
 
 
 def clip(x: Column | str, low: float, high: float) -> Column:
-    return F.least(F.greatest(_c(x), F.lit(low)), F.lit(high))
+    """x brought into ``low`` .. ``high``; null stays null."""
+    return F.when(_c(x).isNotNull(), F.least(F.greatest(_c(x), F.lit(low)), F.lit(high)))
 
 
 def fisher_z_mean(r: Column | str) -> Column:

@@ -92,6 +92,18 @@ def parameters(seq: Column | str, prefix: str = "") -> list[Column]:
     return [c.alias(f"{prefix}{k}") for k, c in outs.items()]
 
 
+def pair_index(seq: Column | str, weights: dict[str, float], factor: float = 10.0) -> Column:
+    """``factor`` / length times the sum of a per-letter-pair table (a parameter) over all adjacent pairs; pairs it lacks count 0, null for empty sequences.
+
+    With a published table of dipeptide weights this is the instability index.
+    """
+    s = _c(seq)
+    table = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, 2))
+    total = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.try_element_at(table, p), F.lit(0.0)))
+    return F.when(F.length(s) > 0, F.lit(factor) * total / F.length(s))
+
+
 def region_of(number: Column | str) -> Column:
     """Region name of an IMGT number, UNKNOWN outside 1 .. 128 or for a null."""
     x = _c(number)

@@ -223,7 +223,7 @@ def shannon_entropy(df: DataFrame, by: list[str], label: str) -> DataFrame:
 
 def bernoulli_entropy(p: Column) -> Column:
     """Mean of -p ln p - (1-p) ln(1-p) with p clipped to 1e-6 .. 1 - 1e-6."""
-    q = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+    q = F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6)))
     return F.avg(-q * F.ln(q) - (1 - q) * F.ln(1 - q))
 
 

@@ -23,8 +23,8 @@ POISSON_CUTS = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k +
 
 def mix(key: Column | str, seed: Column | int = 0) -> Column:
     """32-bit hash of an integer key by integer arithmetic alone, the same in any engine: two rounds of multiply and fold."""
-    k = F.pmod(F.col(key) if isinstance(key, str) else key, F.lit(2**31))
-    s = F.lit(seed) if isinstance(seed, int) else seed
+    k = F.pmod((F.col(key) if isinstance(key, str) else key).cast("long"), F.lit(2**31))
+    s = (F.lit(seed) if isinstance(seed, int) else seed).cast("long")
     a = F.pmod(k * F.lit(2654435761) + s * F.lit(40503) + F.lit(12345), F.lit(MODULUS))
     b = F.pmod(a.bitwiseXOR(F.shiftright(a, 15)) * F.lit(1540483477), F.lit(MODULUS))
     return b.bitwiseXOR(F.shiftright(b, 13))

@@ -372,7 +372,7 @@ def similar_texts(df: DataFrame, key: str, text: str, threshold: float) -> DataF
 
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
-    width = max(1, int(np.ceil(1 / (1 - threshold))) - 1)
+    width = max(1, int(np.ceil(1 / (1 - threshold) - 1e-9)) - 1)
     known = df.where((F.length(text) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t")).distinct()
     classes = known.select("_t").distinct()
     blocks = classes.select("_t", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.length("_t") / width).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("_t"), i * width + 1, F.lit(width)).alias("s")))).alias("b")).select("_t", "b.i", "b.s")

@@ -233,6 +233,27 @@ def quantile_imbalance(df: DataFrame, value: str, train: Column, other: Column,
     return q.crossJoin(sd).select(F.when(F.col("_a").isNull() | F.col("_b").isNull() | (F.coalesce("_sd", F.lit(0.0)) < TINY), F.lit(1.0)).otherwise(F.try_divide(gap, F.col("_sd"))).alias("imbalance"))  # one row each
 
 
+def split_score(df: DataFrame, role: str, train: str, others: list[str], value: str, category: str, group: str, weights: dict[str, float], hard: float = 100.0) -> DataFrame:
+    """Penalty of a split, one row: ``leaks``, per other role ``<role>_imbalance``, ``<role>_tv``, ``<role>_smd``, ``score``.
+
+    ``leaks``: groups in more than one role. The score is ``hard`` for each leak and for
+    each empty role, plus the ``weights`` (imbalance, tv, smd) of the terms, lower is better.
+    """
+    from chainloom.operators.sets import straddling
+
+    d = df.where(F.col(role).isNotNull())
+    out = straddling(d, [group], role).agg(F.count("*").alias("leaks"))
+    score = F.lit(float(hard)) * F.col("leaks")
+    for r in others:
+        inside, base = F.col(role) == r, F.col(role) == train
+        q = quantile_imbalance(d, value, base, inside).withColumnRenamed("imbalance", f"{r}_imbalance")
+        c = category_balance(d, category, base, inside).select(F.col("tv").alias(f"{r}_tv"))
+        m = d.agg(standardised_difference(value, base, inside).alias(f"{r}_smd"), F.count_if(inside).alias(f"_n_{r}"))
+        out = out.crossJoin(q).crossJoin(c).crossJoin(m)  # one row each
+        score = score + sum((F.lit(float(weights.get(t, 0.0))) * F.coalesce(F.col(f"{r}_{t}"), F.lit(1.0)) for t in ("imbalance", "tv", "smd")), F.lit(0.0)) + F.when(F.col(f"_n_{r}") == 0, F.lit(float(hard))).otherwise(0.0)
+    return out.select("leaks", *[f"{r}_{t}" for r in others for t in ("imbalance", "tv", "smd")], score.alias("score"))
+
+
 def energy_distance(df: DataFrame, by: list[str], x: str, y: str, in_a: Column) -> DataFrame:
     """2 E|X-Y| - E|X-X'| - E|Y-Y'| of two 2-D samples per group, self pairs included: ``n_a``, ``n_b``, ``energy``.
 

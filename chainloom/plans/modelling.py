@@ -517,3 +517,16 @@ def evidence_ladder(spark, sf):
     d = _exp(spark, sf).where("family is not null").groupBy("family", "target").agg((F.avg("p") - F.avg("s")).alias("t"), (F.avg("u") - F.avg("p")).alias("a"), (F.avg("v") - F.avg("u")).alias("b"))
     d = d.withColumn("pattern", E.sign_pattern(["t", "a", "b"]))
     return d.select("family", "target", "pattern", E.ladder([("CONSISTENT_GAIN", F.col("pattern") == "---"), ("CONSISTENT_LOSS", F.col("pattern") == "+++"), ("INCOMPLETE", F.contains("pattern", F.lit("?")))], "MIXED").alias("class"))
+
+
+@part.query()
+def nested_group_cv(spark, sf):
+    """Nested CV whose folds hold whole suppliers, balanced by size."""
+    from chainloom.operators.nested import nested_oof
+
+    groups = K.balanced_folds(read(spark, sf, "lineitem"), "l_suppkey", 5).select("l_suppkey", "fold")
+    d = read(spark, sf, "lineitem").join(groups, "l_suppkey").select("l_suppkey", "fold", F.col("l_quantity").alias("x"), F.col("l_tax").alias("x2"), F.col("l_extendedprice").alias("y"))
+    oof, chosen = nested_oof(d, ["x", "x2"], "y", "fold", _GRID)
+    table = spark.createDataFrame([(c["fold"], c["alpha"]) for c in chosen], "fold int, alpha double")
+    r = oof.groupBy("fold").agg(F.countDistinct("l_suppkey").alias("n_groups"), r6(F.avg(F.abs(F.col("y") - F.col("oof"))), 2).alias("mae"))
+    return r.join(table, "fold").select("fold", "n_groups", "alpha", "mae")

@@ -193,3 +193,21 @@ def pca_principal_angles(spark, sf):
         axes.append(np.linalg.eigh(cov)[1][:, ::-1][:, :2])
     cos2 = X.principal_angles(*axes)
     return spark.createDataFrame([(i, round(float(c), 6)) for i, c in enumerate(cos2)], "axis int, cos2 double")
+
+
+_ROLE = "(select o_custkey, o_totalprice v, o_orderpriority c, case when o_custkey % 10 < 6 or o_orderkey % 97 = 0 then 'train' when o_custkey % 10 < 8 then 'val' else 'test' end role from orders)"
+
+
+def _term(r):
+    return f"""(select list_avg(list_transform(list_zip(x.q,y.q), lambda p: abs(p[1]-p[2]))) / (select stddev_pop(v) from d) from (select quantile_cont(v,[0.1,0.25,0.5,0.75,0.9]) q from d where role='train') x, (select quantile_cont(v,[0.1,0.25,0.5,0.75,0.9]) q from d where role='{r}') y) {r}_imbalance,
+ (select sum(abs(a/ta-b/tb))/2 from (select count(*) filter (role='train') a, count(*) filter (role='{r}') b from d group by c), (select count(*) filter (role='train') ta, count(*) filter (role='{r}') tb from d)) {r}_tv,
+ (select abs(avg(v) filter (role='train')-avg(v) filter (role='{r}'))/(sqrt((var_pop(v) filter (role='train')+var_pop(v) filter (role='{r}'))/2)+1e-12) from d) {r}_smd"""
+
+
+@part.query(f"with d as (select * from {_ROLE}), t as (select (select count(*) from (select o_custkey from d group by 1 having count(distinct role)>1)) leaks, {_term('val')}, {_term('test')}) select leaks, " + ", ".join(f"round({r}_{k},6) {r}_{k}" for r in ("val", "test") for k in ("imbalance", "tv", "smd")) + ", round(100*leaks + " + " + ".join(f"{w}*{r}_{k}" for r in ("val", "test") for k, w in (("imbalance", 2.0), ("tv", 1.0), ("smd", 0.5))) + ",4) score from t")
+def split_score(spark, sf):
+    k = F.col("o_custkey") % 10
+    role = F.when((k < 6) | (F.col("o_orderkey") % 97 == 0), "train").when(k < 8, "val").otherwise("test")
+    d = read(spark, sf, "orders").select("o_custkey", F.col("o_totalprice").alias("v"), F.col("o_orderpriority").alias("c"), role.alias("role"))
+    r = X.split_score(d, "role", "train", ["val", "test"], "v", "c", "o_custkey", {"imbalance": 2.0, "tv": 1.0, "smd": 0.5})
+    return r.select("leaks", *[r6(f"{x}_{t}").alias(f"{x}_{t}") for x in ("val", "test") for t in ("imbalance", "tv", "smd")], r6("score", 4).alias("score"))

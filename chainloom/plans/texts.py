@@ -319,3 +319,11 @@ def expected_bridges(spark, sf):
 def domain_slices(spark, sf):
     s = D.domain_slices({"VH": F.length("h"), "CH1": F.lit(98), "VL": F.length("l"), "CL": F.lit(106)})
     return _dev(spark, sf).select("id", "h", "l", F.explode(s).alias("s")).select("id", "h", "l", "s.*")
+
+
+_PAIRS = {"DP": 2.5, "KD": -6.5, "GG": 1.0, "WC": 24.7}
+
+
+@part.query(f"select id, h, case when h<>'' then round(10.0::double/length(h)*coalesce(list_sum(list_transform(range(1,length(h)), lambda i: case h[i:i+1] " + " ".join(f"when '{k}' then {v}::double" for k, v in _PAIRS.items()) + f" else 0::double end)),0),6)+0.0 end pair_index from {_DEV}")
+def letter_pair_index(spark, sf):
+    return _dev(spark, sf).select("id", "h", r6(D.pair_index("h", _PAIRS)).alias("pair_index"))
