@@ -42,6 +42,15 @@ P4_FOUND = f"with {_RECORDS}, {_FOLDS} select scheme, id_a, id_b from found"
 P4_COUNTS = f"""with {_RECORDS}, {_FOLDS}, s as (select scheme, fold_a fold, id_a id from found union all select scheme, fold_b, id_b from found), o as (select id, min(source) source from dev where id is not null group by 1)
 select scheme, fold, source, count(*) n_pairs, count(distinct id) n_records from s join o using (id) group by 1, 2, 3"""
 
+_KNOWN_FOLDS = _FOLDS[: _FOLDS.index("found as")].rstrip().rstrip(",")
+P4_COVERAGE = f"""with {_KNOWN_FOLDS}, t as (select id, c, min(t) t from (select id, 0 c, {_letters('heavy')} t from dev where id is not null union all select id, 1, {_letters('light')} from dev where id is not null) group by 1, 2),
+u as (select scheme, id, c, fold, t from t join f using (id) where length(t) >= 24), x as (select scheme, id, c, fold, i, t[i:i+23] g from (select *, unnest(range(1, length(t)-22)) i from u)),
+h as (select * from x semi join (select scheme, g from x group by 1, 2 having min(fold) <> max(fold)) y on x.scheme = y.scheme and x.g = y.g),
+v as (select scheme, id, c, sum(least(24, coalesce(i - p, 24))) covered from (select *, lag(i) over (partition by scheme, id, c order by i) p from h) group by 1, 2, 3),
+r as (select scheme, id, max(fold) fold, sum(length(t)) letters, coalesce(sum(covered), 0) covered from u left join v using (scheme, id, c) group by 1, 2), o as (select id, min(source) source from dev where id is not null group by 1)
+select scheme, fold, source, count(*) n_records, count(*) filter (covered > 0) n_touched, count(*) filter (covered*2 >= letters) n_half, round(sum(covered)/sum(letters), 6) share from r join o using (id) group by 1, 2, 3"""
+
+
 def _quoted(c: str | None) -> str:
     return "null" if c is None else "'" + c.replace("'", "''") + "'" if ord(c[0]) >= 32 and len(c) else f"chr({ord(c)})"
 

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainloom.llm.chains import expand, records, texts, verified
+from chainloom.llm.chains import expand, records, residues, texts, verified
 from chainloom.llm.neardup import _mix
 from chainloom.operators.orphans import newest
+from chainloom.session import stage
 
 #: name: (least and greatest length of text, window in suffixes, letters of the suffix compared, letters hashed to choose one); a window of -k keeps one suffix in k
 TIERS = {0: (1, 36, 1, 8, 8), 1: (33, 170, 4, 12, 4), 2: (150, 1 << 31, -10, 12, 12)}
@@ -128,3 +129,65 @@ def overlap_counts(found: DataFrame, dev: DataFrame) -> DataFrame:
     sides = found.select("scheme", F.explode(F.array(F.struct(F.col("fold_a").alias("fold"), F.col("id_a").alias("id")), F.struct(F.col("fold_b").alias("fold"), F.col("id_b").alias("id")))).alias("s")).select("scheme", "s.fold", "s.id")
     source = dev.where("id is not null").groupBy("id").agg(F.min("source").alias("source"))
     return sides.join(source, "id").groupBy("scheme", "fold", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("id").alias("n_records"))
+
+
+SPAN = 24
+
+
+def _all_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    half = SPAN // 2
+    for whole in batches:
+        for at in range(0, len(whole), 1000):
+            batch = whole.slice(at, 1000)
+            text = batch.column("text").cast(pa.large_binary())
+            offsets = np.frombuffer(text.buffers()[1], np.int64, count=text.offset + len(text) + 1)[text.offset :]
+            data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            letters = np.where((data >= 65) & (data <= 90), data - 64, 0).astype(np.int64)
+            row = np.repeat(np.arange(len(text)), np.diff(offsets))
+            place = np.arange(len(data)) - offsets[:-1][row]
+            starts = np.flatnonzero(place <= np.diff(offsets)[row] - SPAN)
+            code = _code(letters, half)
+            ids = batch.column("id").take(pa.array(row[starts]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(place[starts].astype(np.int32)), pa.array(code[starts]), pa.array(code[starts + half])], names=["id", "place", "head", "tail"])
+
+
+def span_coverage(dev: DataFrame, folds: DataFrame) -> DataFrame:
+    """How much of each record is found in training records: ``scheme``, ``id``, ``fold``, ``letters``, ``covered``.
+
+    All suffixes of the chains are grouped by their first 24 letters: in a suffix order
+    partitioned by them, such a group is a run of neighbours with so long a common prefix.
+    Where a run holds records of different folds, each of its suffixes covers 24 letters
+    of its record; overlapping ones are merged. Each fold in turn is the evaluation split.
+    Records without a fold or with both chains shorter than 24 letters are left out, as
+    are letters beyond A to Z. Counts are combined before they are shuffled, so a run that
+    a third of all records share is two numbers a task.
+    """
+    chains = dev.where("id is not null").select("id", F.explode(F.array(F.struct(F.lit(0).alias("c"), residues("heavy").alias("t")), F.struct(F.lit(1).alias("c"), residues("light").alias("t")))).alias("s"))
+    one = chains.groupBy("id", F.col("s.c").alias("c")).agg(F.min("s.t").alias("text")).where(F.length("text") >= SPAN)
+    split = known_folds(folds)
+    texts_ = stage(one.join(split.select("id").distinct(), "id", "left_semi").withColumn("key", F.concat_ws("\x01", "c", "id")), "texts")
+    kind = "id string, place int, head long, tail long"
+    suffixes_ = texts_.select(F.col("key").alias("id"), "text").mapInArrow(_all_suffixes, kind)
+    keyed = split.select("scheme", "id", "fold", F.explode(F.array(F.lit("0"), F.lit("1"))).alias("c")).select("scheme", F.concat_ws("\x01", "c", "id").alias("id"), "fold")
+    placed = suffixes_.join(keyed, "id")
+    runs = placed.groupBy("scheme", "head", "tail").agg(F.min("fold").alias("_lo"), F.max("fold").alias("_hi")).where("_lo != _hi")
+    # heads are above -1, so this is the head, but shuffled anew: the join can split a run that many records share
+    runs = runs.select("scheme", F.greatest("head", F.lit(-1)).alias("head"), "tail")
+    hits = placed.join(runs, ["scheme", "head", "tail"], "left_semi").select("scheme", "id", "place").distinct()
+    # a span's new letters are those the span before it, if any, doesn't cover
+    before = Window.partitionBy("scheme", "id").orderBy("place")
+    gain = F.least(F.lit(SPAN), F.coalesce(F.col("place") - F.lag("place").over(before), F.lit(SPAN)))
+    covered = hits.withColumn("_gain", gain).groupBy("scheme", "id").agg(F.sum("_gain").alias("covered"))
+    every = texts_.select(F.col("key").alias("id"), F.col("id").alias("_id"), F.length("text").alias("letters")).join(keyed, "id")
+    joined = every.join(covered, ["scheme", "id"], "left")
+    return joined.groupBy("scheme", F.col("_id").alias("id")).agg(F.max("fold").alias("fold"), F.sum("letters").alias("letters"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"))
+
+
+def coverage_report(covered: DataFrame, dev: DataFrame) -> DataFrame:
+    """Per ``scheme``, evaluation ``fold`` and ``source``: ``n_records``, ``n_touched`` (any span in training), ``n_half`` (half or more covered) and the ``share`` of letters covered."""
+    source = dev.where("id is not null").groupBy("id").agg(F.min("source").alias("source"))
+    c = covered.join(source, "id")
+    return c.groupBy("scheme", "fold", "source").agg(
+        F.count("*").alias("n_records"), F.count_if(F.col("covered") > 0).alias("n_touched"), F.count_if(F.col("covered") * 2 >= F.col("letters")).alias("n_half"), F.try_divide(F.sum("covered"), F.sum("letters")).alias("share")
+    )

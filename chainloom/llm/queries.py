@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chainloom.llm import encode as enc
 from chainloom.llm import clusters, lookalike, mixing, neardup, oracle, overlap, similar, splits
@@ -43,6 +44,11 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_counts(overlap.cross_split(dev, read(spark, sf_dir, "folds")), dev)
 
 
+def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dev = read(spark, sf_dir, "dev")
+    return overlap.coverage_report(overlap.span_coverage(dev, read(spark, sf_dir, "folds")), dev).withColumn("share", F.round("share", 6) + F.lit(0.0))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(read(spark, sf_dir, "dev"))
 
@@ -76,10 +82,10 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares,
     "p3_found": p3_found, "p3_clusters": p3_clusters,
-    "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_groups": p5_groups,
+    "p4_found": p4_found, "p4_counts": p4_counts, "p4_coverage": p4_coverage, "p5_found": p5_found, "p5_groups": p5_groups,
     "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_canonical": p9_canonical,
 }
 ORACLE: dict[str, str] = {
-    "p2_found": oracle.P2_FOUND, "p4_found": oracle.P4_FOUND, "p4_counts": oracle.P4_COUNTS, "p5_found": oracle.P5_FOUND,
+    "p2_found": oracle.P2_FOUND, "p4_found": oracle.P4_FOUND, "p4_counts": oracle.P4_COUNTS, "p4_coverage": oracle.P4_COVERAGE, "p5_found": oracle.P5_FOUND,
     "p9_found": oracle.p9_found(), "p9_canonical": oracle.p9_canonical(),
 }

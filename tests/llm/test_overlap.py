@@ -81,3 +81,15 @@ def test_bit_parallel_edits_equal_the_table():
 
 def test_exchanged_chains_take_the_least_edits():
     assert chains.best_edits("AAAACCCC" * 5, "GGGGTTTT" * 5, "GGGGTTTT" * 5, "AAAACCCC" * 5, 0.94) == (0, 80)
+
+
+def test_coverage_merges_spans_of_other_folds(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice(LETTERS) for _ in range(n))
+    span, a, b = text(40), text(50), text(50)
+    dev = spark.createDataFrame([("x", a + span, ""), ("y", span + b, None), ("same", a, "short"), ("alone", text(60), text(30)), ("tiny", "ACD", None), ("nofold", span, None)], "id string, heavy string, light string").selectExpr("*", "'s' as source")
+    folds = spark.createDataFrame([("p", "x", 0, None), ("p", "y", 1, None), ("p", "same", 0, None), ("p", "alone", 2, None), ("p", "tiny", 3, None), ("p", "nofold", None, None)], "scheme string, id string, fold int, assigned_at timestamp")
+    got = {r.id: (r.fold, r.letters, r.covered) for r in overlap.span_coverage(dev, folds).collect()}
+    assert got == {"x": (0, 90, 40), "y": (1, 90, 40), "same": (0, 50, 0), "alone": (2, 90, 0)}
+    report = overlap.coverage_report(overlap.span_coverage(dev, folds), dev).where("fold = 0").first()
+    assert (report.n_records, report.n_touched, report.n_half) == (2, 1, 0)

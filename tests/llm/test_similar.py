@@ -41,3 +41,22 @@ def test_p1_found_leaves_out_unusable_vectors_and_takes_an_empty_table(spark, tm
     df = spark.createDataFrame(rows, kind)
     assert [tuple(r) for r in most_similar(df).collect()] == [("a", "b")]
     assert most_similar(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_vector_are_indexed_once(spark):
+    from chainloom.llm.similar import most_similar
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(6, 64))
+    rows = [(f"m{i:02}", base[0].tolist(), None) for i in range(40)] + [(f"n{i}", (base[0] + rng.normal(size=64) * 0.05).tolist(), None) for i in range(12)]
+    rows += [(f"p{i}", base[1].tolist(), None) for i in range(3)] + [(f"q{i}", (base[1] + rng.normal(size=64) * 0.05).tolist(), None) for i in range(4)] + [("far", base[2].tolist(), None)]
+    got = {tuple(r) for r in most_similar(spark.createDataFrame(rows, "ids string, ablang2__HL_paired array<float>, extracted_at timestamp")).collect()}
+    ids = [r[0] for r in rows]
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(x @ x.T, 6)
+    want = set()
+    for i in range(len(ids)):
+        order = sorted((j for j in range(len(ids)) if j != i and c[i, j] >= 0.90), key=lambda j: (-c[i, j], ids[j]))
+        want |= {(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in order[:10]}
+    assert len(want ^ got) <= 2
