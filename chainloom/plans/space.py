@@ -71,10 +71,10 @@ _SCOPES = {"ALL": "true", "EVEN": "vec_id % 2 = 0", "EXPOSED": "s >= 0.1"}
 
 @part.query(f"""with t as (select p.label, p.vec_id, any_value(p.s) s, sum(q.w) filter ({_D}<=0.1) "w_R0.1", sum(q.w) filter ({_D}<=0.2) "w_R0.2", sum(q.s) filter ({_D}<=0.1) "s_R0.1", sum(q.s) filter ({_D}<=0.2) "s_R0.2" from {_NEAR} where {_D} <= 0.2 group by 1,2),
 u as (select label, vec_id, s, spec, v from (unpivot t on "w_R0.1","w_R0.2","s_R0.1","s_R0.2" into name spec value v)), m as (""" + " union all ".join(f"select label, '{n}' as scope, spec, v from u where {c}" for n, c in _SCOPES.items()) + """),
-g as (select label, spec, scope, round(avg(v),6)+0.0 mean, round(max(v),6)+0.0 max from m group by 1,2,3) select label, spec, scope, stat, value from (unpivot g on mean, max into name stat value value)""")
+g as (select label, spec, scope, round(avg(v),9)+0.0 mean, round(max(v),9)+0.0 max from m group by 1,2,3) select label, spec, scope, stat, value from (unpivot g on mean, max into name stat value value)""")
 def feature_atlas(spark, sf):
     r = G.atlas(_points(spark, sf), ["label"], "vec_id", {"w": F.col("w"), "s": F.col("s")}, [0.1, 0.2], {n: F.expr(c) for n, c in _SCOPES.items()}, {"mean": A.STATS["mean"], "max": A.STATS["max"]})
-    return r.withColumn("value", r6("value"))
+    return r.withColumn("value", r6("value", 9))
 
 
 @part.query(" union all ".join(f"select '{n}' as scope, count(*) n, round(avg(w),6)+0.0 mean from {_P} where {c}" for n, c in _SCOPES.items()))
@@ -258,9 +258,10 @@ def region_weighted_pooling(spark, sf):
 def cosine_pairs_topk(spark, sf):
     from pyspark.sql import Window
 
-    e = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    b = e.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("e2"))
-    p = e.join(b, "label").where("vec_id != other").select("vec_id", "other", F.round(N.cosine("embedding", "e2"), 9).alias("c"))
+    norm = F.sqrt(N.dot("embedding", "embedding"))  # once a vector, so that a pair costs one product
+    e = read(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), norm.alias("n")).where("n > 0")
+    b = e.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("e2"), F.col("n").alias("n2"))
+    p = e.join(b, "label").where("vec_id != other").select("vec_id", "other", F.round(N.dot("embedding", "e2") / (F.col("n") * F.col("n2")), 9).alias("c"))
     w = Window.partitionBy("vec_id").orderBy(F.desc("c"), "other")
     return p.withColumn("r", F.row_number().over(w)).where("r <= 3").select("vec_id", "other", r6("c").alias("cosine"))
 
