@@ -157,7 +157,11 @@ def config_diff(spark, sf):
     return V.config_diff(a, b, "k", ["target", "family", "n_features", "at"], ignore=("at",))
 
 
-@part.query()
+def _manifest(name, row):
+    return f"select '{name}' as name, sum(n)::bigint n_rows, sha256(string_agg(bh, '' order by b)) content_hash, false labels_read from (select left(h,3) b, count(*) n, sha256(string_agg(h, '' order by h)) bh from (select sha256({row}) h from {name}) group by 1)"
+
+
+@part.query(_manifest("customer", "c_custkey || '|' || format('{:.10f}', c_acctbal) || '|' || c_name") + " union all " + _manifest("supplier", "s_suppkey || '|' || format('{:.10f}', s_acctbal)"))
 def freeze_manifest(spark, sf):
     return V.freeze_manifest({"customer": (read(spark, sf, "customer"), "c_custkey", ["c_acctbal", "c_name"]), "supplier": (read(spark, sf, "supplier"), "s_suppkey", ["s_acctbal"])})
 

@@ -231,7 +231,13 @@ def protein_parameters(spark, sf):
     return d.select("id", "h", *_rounded_params(d))
 
 
-@part.query()
+def _charge(ph):
+    n = lambda k: "1" if len(k) > 1 else f"(length(h)-length(replace(h,'{k}','')))"
+    return " + ".join(f"{n(k)}/(1+pow(10::double,{ph}-{pk}))" for k, pk in D.PK_POSITIVE.items()) + "".join(f" - {n(k)}/(1+pow(10::double,{pk}-{ph}))" for k, pk in D.PK_NEGATIVE.items())
+
+
+@part.query(f"""with b as (select id, h, list_reduce(list_prepend([0.0::double, 14.0::double], list_transform(range(60), lambda i: [0.0::double, 0.0::double])), lambda s, x: case when {_charge('((s[1]+s[2])/2)')} > 0 then [(s[1]+s[2])/2, s[2]] else [s[1], (s[1]+s[2])/2] end) s from {_DEV})
+select id, h, case when h <> '' then round((s[1]+s[2])/2, 6) end pi from b""")
 def isoelectric_points(spark, sf):
     return _dev(spark, sf).select("id", "h", r6(D.isoelectric_point("h")).alias("pi"))
 
