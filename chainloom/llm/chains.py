@@ -127,11 +127,11 @@ def _checked(threshold: float):
     return run
 
 
-_WORDS = 4
+_WORDS = 3
 
 
 def parities(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text, of each of 256 classes of adjacent letter pairs whether their number is odd, as four words.
+    """Per text, of each of 192 classes of adjacent letter pairs whether their number is odd, as three words.
 
     ``data``: the texts one after the other, each prolonged by its first letter. An edit
     changes at most four pairs of the ring, so rings ``d`` edits apart differ in at most 4 d bits.

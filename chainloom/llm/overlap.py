@@ -9,8 +9,8 @@ after it, they would change no result. A span that many texts share gives all th
 
 A pair at a similarity of 0.94 or more, of n letters with d <= 0.06 n edits, has at least
 n - 12 d stretches of 12 letters in common, however the edits lie. In texts of more than
-170 letters one suffix in ten is kept, by a hash of its 12 letters: a pair just at 0.94 is
-missed with a chance of at most 0.9^(n - 12 d), 0.0004 for 230 letters. In shorter texts a
+170 letters one suffix in eleven is kept, by a hash of its 12 letters: a pair just at 0.94 is
+missed with a chance of at most (10/11)^(n - 12 d), 0.0009 for 230 letters. In shorter texts a
 window of 15 letters (8 up to 36) always keeps one, and such a pair shares a window.
 """
 
@@ -29,7 +29,7 @@ from chainloom.operators.orphans import newest
 from chainloom.session import stage
 
 #: name: (least and greatest length of text, window in suffixes, letters of the suffix compared, letters hashed to choose one); a window of -k keeps one suffix in k
-TIERS = {0: (1, 36, 1, 8, 8), 1: (33, 170, 4, 12, 4), 2: (150, 1 << 31, -10, 12, 12)}
+TIERS = {0: (1, 36, 1, 8, 8), 1: (33, 170, 4, 12, 4), 2: (150, 1 << 31, -11, 12, 12)}
 LONGEST = 16
 
 
@@ -92,13 +92,13 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def span_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs ``ka`` < ``kb`` of classes with equal kept suffixes, each once."""
+    """Pairs ``ka`` < ``kb`` of classes with equal kept suffixes; a pair may repeat."""
     whole = F.concat("x", "y")
     rings = classes.select("k", F.concat(whole, F.substring(F.repeat(whole, LONGEST - 1), 1, LONGEST - 1)).alias("ring"))
     kept = rings.mapInArrow(_suffix_rows, "head long, k long")
     a = kept.select("head", F.col("k").alias("ka"))
     b = kept.select("head", F.col("k").alias("kb"))
-    return a.join(b, "head").where("ka < kb").select("ka", "kb").distinct()
+    return a.join(b, "head").where("ka < kb").select("ka", "kb")
 
 
 def known_folds(folds: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def cross_split(dev: DataFrame, folds: DataFrame, threshold: float = 0.94) -> Da
     """
     recs = records(dev)
     classes = texts(recs)
-    links = verified(span_pairs(classes), classes, threshold)
+    links = stage(verified(span_pairs(classes), classes, threshold), "links")
     pairs = expand(links, recs.select("id", "k").distinct())
     split = known_folds(folds)
     a = split.select("scheme", F.col("id").alias("id_a"), F.col("fold").alias("fold_a"))
