@@ -127,11 +127,11 @@ def _checked(threshold: float):
     return run
 
 
-_WORDS = 3
+_WORDS = 4
 
 
 def parities(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text, of each of 192 classes of adjacent letter pairs whether their number is odd, as three words.
+    """Per text, of each of 256 classes of adjacent letter pairs whether their number is odd, as four words.
 
     ``data``: the texts one after the other, each prolonged by its first letter. An edit
     changes at most four pairs of the ring, so rings ``d`` edits apart differ in at most 4 d bits.
@@ -182,7 +182,9 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
 
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of ids (``id_a`` < ``id_b``) of linked classes and of copies within a class; ``members``: ``id``, ``k``."""
+    """Pairs of ids (``id_a`` < ``id_b``) of linked classes and of copies within a class; ``members``: ``id``, ``k``, rows may repeat."""
+    # hashing by k alone also puts equal rows together, and all joins below are by k: one exchange
+    members = members.select("k", "id").repartition("k").distinct()
     a = members.select(F.col("k").alias("ka"), F.col("id").alias("_a"))
     b = members.select(F.col("k").alias("kb"), F.col("id").alias("_b"))
     across = links.select("ka", "kb").join(a, "ka").join(b, "kb").where("_a != _b")

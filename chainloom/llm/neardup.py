@@ -125,13 +125,13 @@ def near_links(classes: DataFrame, threshold: float = 0.94, target_recall: float
 
 
 def near_duplicates(dev: DataFrame, threshold: float = 0.94, **how) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of exact copies (:func:`near_links`) and the members: ``id``, ``k``.
+    """Links between classes of exact copies (:func:`near_links`) and the members: ``id``, ``k``, rows may repeat.
 
     Chains count without what is no letter, null chains as empty; records without any
     residue are no cases. Repeated rows of an id count once. Empty tables give empty results.
     """
     recs = records(dev)
-    return near_links(texts(recs), threshold, **how), recs.select("id", "k").distinct()
+    return near_links(texts(recs), threshold, **how), recs.select("id", "k")
 
 
 def near_pairs(dev: DataFrame, threshold: float = 0.94, **how) -> DataFrame:
@@ -146,7 +146,7 @@ def near_groups(dev: DataFrame, threshold: float = 0.94, **how) -> DataFrame:
     comps = connected_components(links, "ka", "kb")
     degree = links.select(F.explode(F.array("ka", "kb")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
     return (
-        members.join(comps, members.k == comps.node, "left")
+        members.distinct().join(comps, members.k == comps.node, "left")
         .join(degree, "k", "left")
         .select("id", F.col("k").alias("class_id"), F.coalesce("component", "k").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )

@@ -117,7 +117,7 @@ def cross_split(dev: DataFrame, folds: DataFrame, threshold: float = 0.94) -> Da
     recs = records(dev)
     classes = texts(recs)
     links = stage(verified(span_pairs(classes), classes, threshold), "links")
-    pairs = expand(links, recs.select("id", "k").distinct())
+    pairs = stage(expand(links, recs.select("id", "k")), "pairs")
     split = known_folds(folds)
     a = split.select("scheme", F.col("id").alias("id_a"), F.col("fold").alias("fold_a"))
     b = split.select("scheme", F.col("id").alias("id_b"), F.col("fold").alias("fold_b"))
