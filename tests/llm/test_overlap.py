@@ -93,3 +93,25 @@ def test_coverage_merges_spans_of_other_folds(spark):
     assert got == {"x": (0, 90, 40), "y": (1, 90, 40), "same": (0, 50, 0), "alone": (2, 90, 0)}
     report = overlap.coverage_report(overlap.span_coverage(dev, folds), dev).where("fold = 0").first()
     assert (report.n_records, report.n_touched, report.n_half) == (2, 1, 0)
+
+
+def test_every_pair_at_the_threshold_shares_a_kept_suffix():
+    import numpy as np
+
+    from chainloom.llm.overlap import LONGEST, suffixes
+
+    rng = np.random.default_rng(8)
+    for n in (17, 34, 50, 84, 134, 171, 234):
+        edits, pairs = int(0.06 * n + 1e-9), 2000
+        a = rng.integers(65, 85, (pairs, n)).astype(np.uint8)
+        b = a.copy()
+        for i in range(edits):  # evenly, the worst case
+            at = n * i // edits
+            b[:, at] = 65 + (b[:, at] - 65 + 1 + rng.integers(0, 19, pairs)) % 20
+        b = np.roll(b, n // 3, axis=1)  # the chains exchanged
+        rings = np.concatenate([a, b])
+        rings = np.concatenate([rings, rings[:, : LONGEST - 1]], axis=1)
+        row, head = suffixes(rings.ravel(), np.arange(len(rings) + 1) * rings.shape[1])
+        kept = {(r, h) for r, h in zip(row.tolist(), head.tolist())}
+        found = {r for r, h in kept if (r + pairs, h) in kept}
+        assert len(found) == pairs, n
