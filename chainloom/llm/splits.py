@@ -11,6 +11,8 @@ dealt out in hash order. The driver sees only the bundles.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +45,6 @@ def related(dev: DataFrame, label: str = "source") -> DataFrame:
     return ids.join(comps, ids.id == comps.node, "left").select("id", F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("linked"), "label")
 
 
-#: Bundles tried against each other on one arc: all of them where there are no more, else those with the cheapest moves.
-_TRIED = 256
-#: Bundles the driver may hold; beyond it, profiles are coarsened to the commonest label, then left out.
-MOST_BUNDLES = 20_000
-
-
 def _move_costs(sizes, profiles, weight, off, off_label):
     """Added cost of moving one component of bundle b from split s to split t, as an array [b, s, t]."""
     gap = off[None, :] - off[:, None]
@@ -91,33 +87,24 @@ def allocate(sizes: np.ndarray, profiles: np.ndarray, counts: np.ndarray, part:
             put(b, int(usable[np.argmin(np.round(added[usable], 9))]))
     arcs = [(s, t) for s in usable for t in usable if s != t]
     rings = [(s, t, u) for s in usable for t in usable for u in usable if s < t and s < u and t != u]
+    points = np.concatenate([math.sqrt(weight) * sizes[:, None], profiles], axis=1)
     while True:  # every step lowers the cost, and there are finitely many flows
         m = _move_costs(sizes, profiles, weight, off, off_label)
+        gaps = np.concatenate([math.sqrt(weight) * off[:, None], off_label], axis=1)
+        has = [np.flatnonzero(flow[:, s] > 0) for s in range(n_splits)]
         best, steps = -1e-6, None
-        cheap = {}
         for s, t in arcs:
-            price = np.where(flow[:, s] > 0, m[:, s, t], np.inf)
-            order = np.argsort(price, kind="stable")[:_TRIED]
-            cheap[s, t] = order[np.isfinite(price[order])]
-            if len(cheap[s, t]) and price[order[0]] < best:
-                best, steps = price[order[0]], [(order[0], s, t)]
+            if len(has[s]) and (price := m[has[s], s, t]).min() < best:
+                best, steps = price.min(), [(has[s][price.argmin()], s, t)]
         for s, t in arcs:
-            x, y = cheap[s, t], cheap[t, s]
-            if s < t and len(x) and len(y):
-                both = m[x, s, t][:, None] + m[y, t, s][None] - 4 * (weight * np.outer(sizes[x], sizes[y]) + profiles[x] @ profiles[y].T)
-                i, j = np.unravel_index(np.argmin(both), both.shape)
-                if both[i, j] < best:
-                    best, steps = both[i, j], [(x[i], s, t), (y[j], t, s)]
+            if s < t and (found := _exchange(points, has[s], has[t], gaps[t] - gaps[s], best)):
+                best, x, y = found
+                steps = [(x, s, t), (y, t, s)]
         if steps is None:
             for s, t, u in rings:
-                x, y, z = cheap[s, t][:40], cheap[t, u][:40], cheap[u, s][:40]
-                if not (len(x) and len(y) and len(z)):
-                    continue
-                inner = lambda p, q: weight * np.outer(sizes[p], sizes[q]) + profiles[p] @ profiles[q].T
-                ring = (m[x, s, t][:, None] + m[y, t, u][None] - 2 * inner(x, y))[:, :, None] + m[z, u, s][None, None] - 2 * inner(x, z)[:, None, :] - 2 * inner(y, z)[None]
-                i, j, k = np.unravel_index(np.argmin(ring), ring.shape)
-                if ring[i, j, k] < best:
-                    best, steps = ring[i, j, k], [(x[i], s, t), (y[j], t, u), (z[k], u, s)]
+                if found := _ring(points, (has[s], has[t], has[u]), gaps[[s, t, u]], best):
+                    best, x, y, z = found
+                    steps = [(x, s, t), (y, t, u), (z, u, s)]
         if steps is None:
             return flow
         for b, s, t in steps:
@@ -125,20 +112,61 @@ def allocate(sizes: np.ndarray, profiles: np.ndarray, counts: np.ndarray, part:
             put(b, t)
 
 
+def _exchange(points, xs, ys, gap, best: float):
+    """Cheapest exchange of a bundle of ``xs`` for one of ``ys`` that costs less than ``best``: its cost and both; None if there is none.
+
+    The cost is 2 |x - y + gap / 2|^2 - |gap|^2 / 2: only bundles whose sizes let that be so small are compared.
+    """
+    low, out = gap @ gap / 2, None
+    if best + low <= 0:
+        return None
+    xs, ys = xs[np.argsort(points[xs, 0], kind="stable")], ys[np.argsort(points[ys, 0], kind="stable")]
+    for at in range(0, len(xs), 256):
+        some = xs[at : at + 256]
+        far = math.sqrt(max(0.0, (best + low) / 2)) + 1e-6
+        place = points[some, 0] + gap[0] / 2
+        here = ys[np.searchsorted(points[ys, 0], place[0] - far) : np.searchsorted(points[ys, 0], place[-1] + far, side="right")]
+        if not len(here):
+            continue
+        x, y = points[some] + gap / 2, points[here]
+        cost = 2 * ((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T) - low
+        i, j = np.unravel_index(np.argmin(cost), cost.shape)
+        if cost[i, j] < best:
+            best, out = cost[i, j], (cost[i, j], some[i], here[j])
+    return out
+
+
+def _ring(points, groups, gaps, best: float):
+    """Cheapest ring (x from the first split to the second, y from there to the third, z back) that costs less than ``best``; None if there is none.
+
+    The three splits' squared deviations afterwards add up to the cost and what they are
+    now, so each alone must be below that sum.
+    """
+    now = (gaps**2).sum()
+    x, z, out = points[groups[0]], points[groups[2]], None
+    if not all(map(len, groups)):
+        return None
+    for b in groups[1]:
+        dx, dz = ((gaps[1] + x - points[b]) ** 2).sum(1), ((gaps[2] + points[b] - z) ** 2).sum(1)
+        i, k = np.flatnonzero(dx < now + best), np.flatnonzero(dz < now + best)
+        for at in range(0, len(i), 256):
+            rows = i[at : at + 256]
+            if not len(k):
+                break
+            p, q = x[rows] - gaps[0], z[k]
+            cost = dx[rows][:, None] + dz[k][None] + (p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T - now
+            n, o = np.unravel_index(np.argmin(cost), cost.shape)
+            if cost[n, o] < best:
+                best, out = cost[n, o], (cost[n, o], groups[0][rows[n]], b, groups[2][k[o]])
+    return out
+
+
 def _bundled(sized: DataFrame) -> tuple[DataFrame, list]:
-    """Components with their ``profile`` (sorted label = records), and the bundles; the profile is coarsened until the bundles fit the driver."""
-    commonest = F.array_max(F.transform("counts", lambda c: F.struct(c["n"].alias("n"), c["label"].alias("label"))))["label"]
-    exact = F.transform(F.array_sort("counts"), lambda c: F.concat(F.coalesce(c["label"], F.lit("\x00")), F.lit("\x01"), c["n"].cast("string")))
-    whole = F.array(F.concat(F.coalesce(commonest, F.lit("\x00")), F.lit("\x01"), F.col("size").cast("string")))
-    nothing = F.array(F.concat(F.lit("\x00\x01"), F.col("size").cast("string")))
-    for profile in (exact, whole, nothing):
-        comps = sized.select("component", "size", F.array_join(profile, "\x02").alias("profile"))
-        bundles = comps.groupBy("size", "profile").agg(F.count("*").alias("n"))
-        rows = bundles.limit(MOST_BUNDLES + 1).collect()
-        if len(rows) <= MOST_BUNDLES:
-            break
-    # sizes alone number at most the root of twice the records
-    return comps, sorted(rows if len(rows) <= MOST_BUNDLES else bundles.collect(), key=lambda r: (r["size"], r["profile"]))
+    """Components with their ``profile`` (sorted label = records), and the bundles, whatever their number."""
+    profile = F.transform(F.array_sort("counts"), lambda c: F.concat(F.coalesce(c["label"], F.lit("\x00")), F.lit("\x01"), c["n"].cast("string")))
+    comps = sized.select("component", "size", F.array_join(profile, "\x02").alias("profile"))
+    rows = comps.groupBy("size", "profile").agg(F.count("*").alias("n")).collect()
+    return comps, sorted(rows, key=lambda r: (r["size"], r["profile"]))
 
 
 def split_records(dev: DataFrame, split_target: DataFrame, label: str = "source", seed: int = 0) -> DataFrame:

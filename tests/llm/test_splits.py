@@ -64,3 +64,30 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([("A1", "AA", "CC", None)], DEV)
     assert split_records(one, target.limit(0)).count() == 0
     assert split_records(one, target).collect()[0].split == "train"
+
+
+def test_splits_do_not_depend_on_the_number_of_bundles(spark, monkeypatch):
+    from chainloom.llm import splits
+
+    dev = spark.createDataFrame([(f"AB-{i}", f"H{i // 3}" if i % 5 else f"X{i}", None, f"s{i * i % 7 % 4}") for i in range(240)], DEV).withColumn("heavy", F.translate("heavy", "0123456789", "ACDEFGHIKL"))
+    target = spark.createDataFrame([("train", 0.7), ("validation", 0.2), ("test", 0.1)], "split_name string, share double")
+    rows = lambda: sorted(map(tuple, split_records(dev, target).select("id", "split").collect()))
+    want = rows()
+    monkeypatch.setattr(splits, "MOST_BUNDLES", 3, raising=False)
+    monkeypatch.setattr(splits, "_TRIED", 1, raising=False)
+    assert rows() == want
+
+
+def test_no_exchange_of_many_bundles_is_left_out():
+    rng = np.random.default_rng(6)
+    profiles = rng.integers(0, 40, (700, 3)).astype(float)
+    profiles[:, 0] += 1
+    part, sizes = np.array([0.7, 0.2, 0.1]), profiles.sum(1)
+    flow = allocate(sizes, profiles, np.ones(700, int), part)
+    points = np.concatenate([2 * sizes[:, None], profiles], axis=1)
+    off = flow.T @ points - part[:, None] * points.sum(0)
+    for s, t in itertools.combinations(range(3), 2):
+        x, y = points[flow[:, s] > 0], points[flow[:, t] > 0]
+        d = y[None] - x[:, None]
+        cost = ((off[s] + d) ** 2).sum(-1) + ((off[t] - d) ** 2).sum(-1) - (off[s] ** 2).sum() - (off[t] ** 2).sum()
+        assert cost.min() > -1e-3
