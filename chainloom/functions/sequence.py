@@ -135,14 +135,30 @@ def annotate(df: DataFrame, keys: list[str], seq: str, numbering: DataFrame) ->
     ``numbering``: ``keys``, ``seq_index`` (from 0), ``aa``, ``number``, ``insertion``.
     Gives ``keys``, ``seq_index``, ``aa``, ``label``, ``region``, ``status``: OK,
     PARTIAL_UNKNOWN (a residue without number), SEQ_MISMATCH, LENGTH_MISMATCH.
+
+    A chain's numbering is gathered into one row before it is shuffled and joined.
     """
-    residues = df.select(*keys, F.length(seq).alias("_n"), F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias("seq_index", "aa"))
-    named = numbering.select(*keys, "seq_index", F.col("aa").alias("_aa"), "number", "insertion")
-    joined = residues.join(named, [*keys, "seq_index"], "left")
-    total = numbering.groupBy(*keys).agg(F.count("*").alias("_m"))
-    check = joined.groupBy(*keys).agg(F.max("_n").alias("_n"), F.count_if(F.col("_aa") != F.col("aa")).alias("_bad"), F.count_if(F.col("number").isNull()).alias("_open")).join(total, keys, "left")
-    status = F.when(F.coalesce("_m", F.lit(0)) != F.col("_n"), "LENGTH_MISMATCH").when(F.col("_bad") > 0, "SEQ_MISMATCH").when(F.col("_open") > 0, "PARTIAL_UNKNOWN").otherwise("OK")
-    return joined.join(check.select(*keys, status.alias("status")), keys).select(*keys, "seq_index", "aa", position_label("number", "insertion").alias("label"), region_of("number").alias("region"), "status")
+    entry = F.struct("seq_index", "aa", "number", "insertion")
+    gathered = numbering.groupBy(*keys).agg(F.collect_list(entry).alias("_numbering"))
+    return annotate_rows(df.join(gathered, keys, "left"), keys, seq, "_numbering")
+
+
+def annotate_rows(df: DataFrame, keys: list[str], seq: str, numbering: Column | str) -> DataFrame:
+    """As :func:`annotate`, the numbering standing in the sequence's own row: an array of (seq_index, aa, number, insertion) or null. Of entries for one residue the least counts. Nothing is shuffled."""
+    letters = F.filter(F.split(seq, ""), lambda c: c != "")
+    known = _c(numbering)
+    # evaluated once a row: a column named within a lambda might be put in its place, once a letter
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    entries = F.sort_array(F.filter(known, lambda e: e["seq_index"].isNotNull()))
+    least = lambda all_: F.filter(all_, lambda e, i: (i == 0) | (F.get(all_, i - 1)["seq_index"] != e["seq_index"]))
+    placed = once(entries, lambda all_: F.map_from_entries(F.transform(least(all_), lambda e: F.struct(e["seq_index"].cast("int").alias("key"), e.alias("value")))))
+    residue = lambda both: F.transform(both["l"], lambda aa, i: F.struct(i.alias("seq_index"), aa.alias("aa"), F.try_element_at(both["at"], i).alias("e")))
+    rows = df.select(*keys, F.coalesce(F.size(known), F.lit(0)).alias("_m"), once(F.struct(letters.alias("l"), placed.alias("at")), residue).alias("_rows"))
+    bad = F.exists("_rows", lambda r: r["e"]["aa"] != r["aa"])
+    unnumbered = F.exists("_rows", lambda r: r["e"]["number"].isNull())
+    status = F.when(F.greatest("_m", F.lit(0)) != F.size("_rows"), "LENGTH_MISMATCH").when(bad, "SEQ_MISMATCH").when(unnumbered, "PARTIAL_UNKNOWN").otherwise("OK")
+    each = rows.select(*keys, status.alias("status"), F.explode("_rows").alias("_r"))
+    return each.select(*keys, "_r.seq_index", "_r.aa", position_label("_r.e.number", "_r.e.insertion").alias("label"), region_of("_r.e.number").alias("region"), "status")
 
 
 def family_distance(df: DataFrame, key: str, family: str, seq: str, naive: Column) -> DataFrame:
@@ -166,6 +182,15 @@ def mutation_fraction(a: DataFrame, b: DataFrame, keys: list[str], position: str
     return both.groupBy(*keys).agg(F.count("*").alias("covered"), F.avg((F.col(letter) != F.col("_other")).cast("double")).alias("mutated"))
 
 
+def mutation_share(a: Column | str, b: Column | str, last: int = 104) -> list[Column]:
+    """``covered`` and ``mutated`` as in :func:`mutation_fraction`, for two texts whose positions are their places; null where either is empty."""
+    x, y = _c(a), _c(b)
+    n = F.when((F.length(x) > 0) & (F.length(y) > 0), F.least(F.length(x), F.length(y), F.lit(last)))
+    letters = [F.split(t.substr(F.lit(1), n), "") for t in (x, y)]
+    same = F.aggregate(F.zip_with(*letters, lambda p, q: ((p == q) & (p != "")).cast("int")), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
+    return [n.cast("long").alias("covered"), ((n - same) / n).alias("mutated")]
+
+
 def map_chains(chains: DataFrame, records: DataFrame, model: str, chain: str, seq: str, key: str, heavy: str, light: str) -> DataFrame:
     """Which chain of a model is heavy and which light, by equal sequence: ``model``, ``key``, ``heavy_chain``, ``light_chain``, ``error``.
 
