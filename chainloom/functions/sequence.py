@@ -151,13 +151,14 @@ def annotate_rows(df: DataFrame, keys: list[str], seq: str, numbering: Column |
     once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     entries = F.sort_array(F.filter(known, lambda e: e["seq_index"].isNotNull()))
     least = lambda all_: F.filter(all_, lambda e, i: (i == 0) | (F.get(all_, i - 1)["seq_index"] != e["seq_index"]))
-    placed = once(entries, lambda all_: F.map_from_entries(F.transform(least(all_), lambda e: F.struct(e["seq_index"].cast("int").alias("key"), e.alias("value")))))
-    residue = lambda both: F.transform(both["l"], lambda aa, i: F.struct(i.alias("seq_index"), aa.alias("aa"), F.try_element_at(both["at"], i).alias("e")))
-    rows = df.select(*keys, F.coalesce(F.size(known), F.lit(0)).alias("_m"), once(F.struct(letters.alias("l"), placed.alias("at")), residue).alias("_rows"))
+    placed = once(entries, lambda all_: F.struct(least(all_).alias("all"), F.transform(least(all_), lambda e: e["seq_index"].cast("int")).alias("at")))
+    residue = lambda both: F.transform(both["l"], lambda aa, i: F.struct(i.alias("seq_index"), aa.alias("aa"), F.get(both["p"]["all"], F.array_position(both["p"]["at"], i).cast("int") - 1).alias("e")))
+    rows = df.select(*keys, F.coalesce(F.size(known), F.lit(0)).alias("_m"), once(F.struct(letters.alias("l"), placed.alias("p")), residue).alias("_rows"))
     bad = F.exists("_rows", lambda r: r["e"]["aa"] != r["aa"])
     unnumbered = F.exists("_rows", lambda r: r["e"]["number"].isNull())
     status = F.when(F.greatest("_m", F.lit(0)) != F.size("_rows"), "LENGTH_MISMATCH").when(bad, "SEQ_MISMATCH").when(unnumbered, "PARTIAL_UNKNOWN").otherwise("OK")
-    each = rows.select(*keys, status.alias("status"), F.explode("_rows").alias("_r"))
+    # a select of its own: beside the explode the status would be found anew for each residue
+    each = rows.select(*keys, "_rows", status.alias("status")).select(*keys, "status", F.explode("_rows").alias("_r"))
     return each.select(*keys, "_r.seq_index", "_r.aa", position_label("_r.e.number", "_r.e.insertion").alias("label"), region_of("_r.e.number").alias("region"), "status")
 
 
