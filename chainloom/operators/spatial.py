@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -360,28 +362,85 @@ def upper_distances(df: DataFrame, key: str, vector: str, member: str) -> DataFr
 # --- similarity of texts
 
 
+#: By the places that may differ, the groups formed beyond their number and one; this only sets how many false candidates meet.
+_SPARE = {1: 5, 2: 3, 3: 2, 4: 1, 5: 1, 6: 1}
+#: Texts up to this length are listed by groups of places, longer ones by blocks; either way no pair is missed.
+_GROUPED = 64
+
+
+def _kept_places(width: int, differ: int, spread: dict[int, float]) -> list[list[int]]:
+    """The places of texts of ``width`` letters in groups of like ``spread``: those left for each way to leave out ``differ`` groups."""
+    many = min(width, differ + 1 + _SPARE.get(differ, 0))
+    groups: list[list[int]] = [[] for _ in range(many)]
+    load = [0.0] * many
+    for place in sorted(range(width), key=lambda i: (-spread.get(i, 0.0), i)):
+        g = min(range(many), key=lambda j: (load[j], len(groups[j]), j))
+        groups[g].append(place)
+        load[g] += spread.get(place, 0.0)
+    return [sorted(i for g, own in enumerate(groups) if g not in gone for i in own) for gone in combinations(range(many), differ)]
+
+
+def _listings(lengths: dict[int, int], spread: dict[int, float]):
+    """Rows of each text ``_t``: for every length ``n`` of the longer text that it may meet, the letters ``s`` of each choice ``i`` of groups; ``lengths``: how many places may differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {n: _kept_places(n, differ, spread) for n, differ in lengths.items()}
+        for batch in batches:
+            rows = []
+            for t in batch.column("_t").to_pylist():
+                for n, choices in kept.items():
+                    if n - lengths[n] <= len(t) <= n:
+                        rows += [(n, i, "".join(t[x] for x in places if x < len(t)), t) for i, places in enumerate(choices)]
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["n", "i", "s", "_t"])
+
+    return run
+
+
+def _met_by_groups(classes: DataFrame, longest: int, threshold: float) -> DataFrame:
+    """Candidate pairs ``_t``, ``_u`` of texts up to ``longest`` letters, as :func:`similar_texts` has it."""
+    lengths = {n: m for n in range(1, longest + 1) if (m := int((1 - threshold) * n + 1e-9))}  # texts that may not differ are equal
+    letters = classes.select(F.posexplode(F.split("_t", "")).alias("i", "c")).where("c != ''").groupBy("i", "c").count()
+    spread = {r.i: r.w for r in letters.groupBy("i").agg((F.log2(F.sum("count")) - F.sum(F.col("count") * F.log2("count")) / F.sum("count")).alias("w")).collect()}
+    listed = classes.mapInArrow(_listings(lengths, spread), "n int, i int, s string, _t string")
+    other = listed.withColumnRenamed("_t", "_u")
+    return listed.where("length(_t) = n").join(other, ["n", "i", "s"]).where("length(_u) < n or _t < _u").select("_t", "_u").distinct()
+
+
+def _met_by_blocks(classes: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs ``_t``, ``_u`` that share a block of w < 1 / (1 - threshold) places: there are more blocks than differences."""
+    width = max(1, int(np.ceil(1 / (1 - threshold) - 1e-9)) - 1)
+    blocks = classes.select("_t", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.length("_t") / width).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("_t"), i * width + 1, F.lit(width)).alias("s")))).alias("b")).select("_t", "b.i", "b.s")
+    other = blocks.withColumnRenamed("_t", "_u")
+    return blocks.join(other, ["i", "s"]).where("_t < _u").select("_t", "_u").distinct()
+
+
 def similar_texts(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Pairs of keys (a < b) whose positional identity reaches ``threshold`` (below 1): ``a``, ``b``, ``identity``.
 
-    A pair has at most (1 - threshold) n mismatches over the longer length n, fewer than
-    there are blocks of w < 1 / (1 - threshold) places, so some block is the same in both:
-    an equi-join on (block number, block) finds every pair. Equal texts are one class and
-    are expanded at the end. Null and empty texts are in no pair.
+    A pair of n letters, the longer length, differs at m = (1 - threshold) n places at
+    most, those beyond the shorter text included. The places are parted into more than m
+    groups; as at most m of them hold a difference, some choice of all but m groups is the
+    same in both: an equi-join on these finds every pair. Groups get about equally many
+    different letters, so that a beginning all texts share makes no candidates.
+    Equal texts are one class and are expanded at the end. Null and empty texts are in no pair.
     """
     from chainloom.functions.text import positional_identity
 
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
-    width = max(1, int(np.ceil(1 / (1 - threshold) - 1e-9)) - 1)
     known = df.where((F.length(text) > 0) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t")).distinct()
     classes = known.select("_t").distinct()
-    blocks = classes.select("_t", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.length("_t") / width).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("_t"), i * width + 1, F.lit(width)).alias("s")))).alias("b")).select("_t", "b.i", "b.s")
-    other = blocks.withColumnRenamed("_t", "_u")
-    pairs = blocks.join(other, ["i", "s"]).where("_t < _u").select("_t", "_u").distinct().withColumn("identity", positional_identity("_t", "_u")).where(F.col("identity") >= threshold)
+    longest = classes.agg(F.max(F.length("_t"))).first()[0] or 0
+    met = _met_by_groups(classes, longest, threshold) if longest <= _GROUPED else _met_by_blocks(classes, threshold)
+    pairs = met.withColumn("identity", positional_identity("_t", "_u")).where(F.col("identity") >= threshold)
     a, b = known.select(F.col("_k").alias("_ka"), "_t"), known.select(F.col("_k").alias("_kb"), F.col("_t").alias("_u"))
     across = pairs.join(a, "_t").join(b, "_u").where("_ka != _kb").select(F.least("_ka", "_kb").alias("a"), F.greatest("_ka", "_kb").alias("b"), "identity")
     same = known.join(known.select(F.col("_k").alias("_kb"), "_t"), "_t").where("_k < _kb").select(F.col("_k").alias("a"), F.col("_kb").alias("b"), F.lit(1.0).alias("identity"))
-    return across.unionByName(same).groupBy("a", "b").agg(F.max("identity").alias("identity"))
+    every = across.unionByName(same)
+    if known.groupBy("_k").count().where("count > 1").isEmpty():
+        return every  # a key has one text, so a pair comes once
+    return every.groupBy("a", "b").agg(F.max("identity").alias("identity"))
 
 
 def nearest_reference(queries: DataFrame, rows: DataFrame, key: str, text: str, most_queries: int = 20_000) -> DataFrame:

@@ -157,3 +157,10 @@ def test_distances_of_equal_and_empty_samples(spark):
     d = spark.createDataFrame([("same", 1.0, True), ("same", 1.0, False), ("empty", 1.0, True), ("apart", 0.0, True), ("apart", 2.0, False)], "g string, v double, a boolean")
     got = {r.g: (r.wasserstein, r.ks) for r in X.cdf_distances(d, ["g"], "v", F.col("a")).collect()}
     assert got == {"same": (0.0, 0.0), "empty": (None, None), "apart": (2.0, 1.0)}
+
+
+def test_a_common_beginning_makes_no_candidates(spark):
+    d = spark.createDataFrame([(i, f"Supplier#{i:09}") for i in range(1000)], "k long, t string")
+    assert G.similar_texts(d, "k", "t", 0.9).count() == 1000 * 27 // 2
+    met = G._met_by_groups(d.select(F.col("t").alias("_t")), 18, 0.9)
+    assert met.count() < 30_000  # of 499,500 pairs
